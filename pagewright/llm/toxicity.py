@@ -30,7 +30,7 @@ def held_out(doc_id: Column) -> Column:
 def buckets(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each n-gram size (buckets, index of the text) of all n-grams of lower-cased texts with a space at either end."""
     codes = [np.frombuffer(f" {t.lower()} ".encode("utf-32-le", "replace") if t else b"", np.uint32) for t in texts]
-    length = np.array([len(c) for c in codes])
+    length = np.array([len(c) for c in codes], np.int64)
     owner = np.repeat(np.arange(len(texts)), length)
     flat = np.concatenate(codes).astype(np.uint64) if texts else np.zeros(0, np.uint64)
     rolled = flat.copy()
