@@ -8,10 +8,12 @@ Decoding joins ids with the vocabulary and concatenates the bytes by an ordered
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterator
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -20,32 +22,37 @@ from pyspark.sql import types as T
 
 from pagewright.llm.common import free_name, slices
 
-#: Bytes of pieces that one recursive query holds, and pieces that a worker remembers from earlier batches.
-QUERY_BYTES = 200_000
-MEMORY = 300_000
+#: Bytes of pieces that one recursive query holds, and pieces in each of the two generations that a worker remembers.
+QUERY_BYTES = 400_000
+MEMORY = 250_000
 
+#: A token row knows the position and the token after it, so that a contraction touches three rows of its word; ranks are token ids, and positions take 20 bits beside them.
 CONTRACT = """
-WITH RECURSIVE state(word, pos, tok, step) AS (
-    SELECT word, pos, tok, 0 FROM start
+WITH RECURSIVE state(word, pos, next, tok, after, step) AS (
+    SELECT word, pos, pos + 1, tok, after, 0 FROM start
   UNION ALL
-    SELECT word, pos, CASE WHEN pos = best THEN merged ELSE tok END, step + 1
-    FROM (
-        SELECT n.word, n.pos, n.tok, n.step, n.before, b.best, b.merged
-        FROM (SELECT word, pos, tok, step, lag(pos) OVER (PARTITION BY word ORDER BY pos) AS before FROM state) n
-        JOIN (
-            SELECT word, arg_min(pos, (rank, pos)) AS best, arg_min(merged, (rank, pos)) AS merged
-            FROM (SELECT word, pos, tok, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS after FROM state) p
-            JOIN merges m ON m.l = p.tok AND m.r = p.after
-            GROUP BY word
-        ) b ON b.word = n.word
-    )
-    WHERE before IS NULL OR before <> best
+    SELECT s.word, s.pos,
+           CASE WHEN s.pos = b.pos THEN b.beyond ELSE s.next END,
+           CASE WHEN s.pos = b.pos THEN b.merged ELSE s.tok END,
+           CASE WHEN s.pos = b.pos THEN b.last WHEN s.next = b.pos THEN b.merged ELSE s.after END,
+           s.step + 1
+    FROM state s
+    JOIN (
+        SELECT l.word, l.pos, l.next, least.best >> 20 AS merged, r.next AS beyond, r.after AS last
+        FROM (
+            SELECT word, min((CAST(merged AS BIGINT) << 20) + pos) AS best
+            FROM state JOIN merges m ON m.l = tok AND m.r = after GROUP BY word
+        ) least
+        JOIN state l ON l.word = least.word AND l.pos = least.best & 1048575
+        JOIN state r ON r.word = l.word AND r.pos = l.next
+    ) b ON b.word = s.word
+    WHERE s.pos <> b.next
 )
-SELECT word, list(tok ORDER BY pos) AS ids
-FROM (SELECT *, max(step) OVER (PARTITION BY word) AS last FROM state)
-WHERE step = last GROUP BY word
+SELECT s.word, CAST(s.tok AS INTEGER) AS tok
+FROM state s JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) f ON f.word = s.word AND f.step = s.step
+ORDER BY s.word, s.pos
 """
-DECODE = "SELECT word, unhex(string_agg(v.bytes, '' ORDER BY pos)) AS raw FROM ids JOIN vocabulary v USING (tok) GROUP BY word"
+DECODE = "SELECT word, string_agg(v.bytes, '' ORDER BY pos) AS bytes FROM ids JOIN vocabulary v USING (tok) GROUP BY word"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -55,60 +62,73 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Bpe:
-    """One worker's DuckDB connection with the merge table, and the pieces it has seen."""
+    """One worker's DuckDB connection with the merge table, and the pieces it has seen lately."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = ranks, regex.compile(pattern).findall
-        self.known: dict[str, tuple[list[int], bytes]] = {}
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
-        self.db.execute("SET preserve_insertion_order = false")
         pairs = [(ranks[t[:k]], ranks[t[k:]], rank) for t, rank in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
-        left, right, rank = (pa.array(x, pa.int32()) for x in zip(*pairs)) if pairs else (pa.array([], pa.int32()),) * 3
-        self._table("merges", pa.table({"l": left, "r": right, "merged": rank, "rank": rank}))
-        self._table("vocabulary", pa.table({"tok": pa.array(ranks.values(), pa.int32()), "bytes": [t.hex() for t in ranks]}))
+        left, right, merged = (np.array(x, np.int32) for x in (zip(*pairs) if pairs else ((), (), ())))
+        self._table("merges", l=left, r=right, merged=merged)
+        self._table("vocabulary", tok=np.array(list(ranks.values()), np.int32), bytes=[t.hex() for t in ranks])
 
-    def _table(self, name: str, rows: pa.Table) -> None:
-        self.db.register("rows_", rows)
+    def _table(self, name: str, **columns) -> None:
+        self.db.register("rows_", pa.table(columns))
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM rows_")
         self.db.unregister("rows_")
 
     def learn(self, pieces: list[str]) -> None:
-        """Encodes and decodes pieces that are not known yet. A piece that is a token as a whole is that token."""
+        """Encodes and decodes pieces that are not known yet."""
         size, group = 0, []
         for piece in pieces:
-            raw = piece.encode("utf-8", "replace")
-            group.append((piece, raw))
+            group.append((piece, raw := piece.encode("utf-8", "replace")))
             size += len(raw)
             if size >= QUERY_BYTES:
                 self._learn(group)
-                group, size = [], 0
+                size, group = 0, []
         if group:
             self._learn(group)
 
     def _learn(self, group: list[tuple[str, bytes]]) -> None:
-        ids: list[list[int] | None] = [[self.ranks[raw]] if raw in self.ranks else None for _, raw in group]
-        if open_ := [k for k, x in enumerate(ids) if x is None]:
-            one = [self.ranks[bytes([b])] for b in range(256)]
-            word = [k for k in open_ for _ in group[k][1]]
-            pos = [i for k in open_ for i in range(len(group[k][1]))]
-            tok = [one[b] for k in open_ for b in group[k][1]]
-            self._table("start", pa.table({"word": pa.array(word, pa.int32()), "pos": pa.array(pos, pa.int32()), "tok": pa.array(tok, pa.int32())}))
-            for k, out in self.db.execute(CONTRACT).fetchall():
-                ids[k] = out
-        word = [k for k, x in enumerate(ids) for _ in x]
-        pos = [i for x in ids for i in range(len(x))]
-        self._table("ids", pa.table({"word": pa.array(word, pa.int32()), "pos": pa.array(pos, pa.int32()), "tok": pa.array([t for x in ids for t in x], pa.int32())}))
+        # a piece that is a token as a whole is that token
+        word = [np.array([k], np.int32) for k, (_, raw) in enumerate(group) if raw in self.ranks]
+        tok = [np.array([self.ranks[raw]], np.int32) for _, raw in group if raw in self.ranks]
+        if rest := [k for k, (_, raw) in enumerate(group) if raw not in self.ranks]:
+            length = np.array([len(group[k][1]) for k in rest])
+            ends = np.cumsum(length)
+            start = self.bytes[np.frombuffer(b"".join(group[k][1] for k in rest), np.uint8)]
+            after = np.append(start[1:], np.int32(-1))
+            after[ends - 1] = -1
+            pos = np.arange(len(start)) - np.repeat(ends - length, length)
+            self._table("start", word=np.repeat(np.array(rest, np.int32), length), pos=pos.astype(np.int32), tok=start, after=after)
+            done = self.db.execute(CONTRACT).fetchnumpy()
+            word.append(np.asarray(done["word"], np.int32))
+            tok.append(np.asarray(done["tok"], np.int32))
+        word, tok = np.concatenate(word), np.concatenate(tok)
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        size = np.diff(np.append(first, len(word)))
+        self._table("ids", word=word, pos=(np.arange(len(word)) - np.repeat(first, size)).astype(np.int32), tok=tok)
         raw = dict(self.db.execute(DECODE).fetchall())
-        for k, (piece, _) in enumerate(group):
-            self.known[piece] = (ids[k], raw[k])
+        for k, at, n in zip(word[first].tolist(), first.tolist(), size.tolist()):
+            self.known[group[k][0]] = (tok[at : at + n].tobytes(), bytes.fromhex(raw[k]))
 
-    def pieces(self, texts: list[str | None]) -> list[list[str]]:
-        split = [self.split(t) if t else [] for t in texts]
+    def code(self, texts: list[str | None]) -> list[list[tuple[bytes, bytes]]]:
+        """For each text its pieces in order, as (ids as 32-bit integers, decoded bytes)."""
         if len(self.known) > MEMORY:
-            self.known.clear()
-        new = set().union(*split).difference(self.known)
-        self.learn(sorted(new, key=len))
-        return split
+            self.known, self.older = {}, self.known
+        split = [self.split(t) if t else [] for t in texts]
+        found = [list(map(self.known.get, pieces)) for pieces in split]
+        open_ = [k for k, x in enumerate(found) if None in x]
+        new = {p for k in open_ for p, x in zip(split[k], found[k]) if x is None}
+        for p in new & self.older.keys():
+            self.known[p] = self.older[p]
+        self.learn(sorted(new - self.older.keys(), key=len))
+        for k in open_:
+            found[k] = [self.known[p] for p in split[k]]
+        return found
 
 
 _worker: dict[str, Bpe] = {}
@@ -125,15 +145,17 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_column: str =
     name = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # nothing here makes cycles, and the collector would walk the remembered pieces again and again
         if (bpe := _worker.get(name)) is None:
             _worker.clear()
             bpe = _worker[name] = Bpe(*shared.value)
         for batch in slices(batches, "text", 4 << 20):
-            split = bpe.pieces(batch.column(1).to_pylist())
-            known = bpe.known
-            ids = [[t for p in pieces for t in known[p][0]] for pieces in split]
-            raw = [b"".join([known[p][1] for p in pieces]) for pieces in split]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(raw, pa.binary())], names=["id", "token_ids", "decoded"])
+            coded = bpe.code(batch.column(1).to_pylist())
+            ids = [b"".join([x[0] for x in text]) for text in coded]
+            raw = [b"".join([x[1] for x in text]) for text in coded]
+            ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(raw, pa.binary())], names=["id", "token_ids", "decoded"])
 
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     out = rows.mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]))
