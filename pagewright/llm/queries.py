@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import byte_bpe, chat_format, decontamination, secret_scan, toxicity, url_filter
+from pagewright.llm import byte_bpe, chat_format, decontamination, ngram_join, pq_dedup, secret_scan, toxicity, url_filter
 from pagewright.llm.common import table
 
 #: The rules that the contract names: host, path, verdict.
@@ -34,6 +34,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.links(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
 
@@ -42,6 +46,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+def op8_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq_dedup.links(table(spark, sf_dir, "embeddings"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secret_spans(table(spark, sf_dir, "documents")))
 
@@ -50,8 +58,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_chat_format": op2_chat_format,
     "op3_toxicity": op3_toxicity,
+    "op4_ngram_join": op4_ngram_join,
     "op6_url_filter": op6_url_filter,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_pq_dedup": op8_pq_dedup,
     "op9_secret_scan": op9_secret_scan,
 }
 
