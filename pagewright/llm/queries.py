@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import byte_bpe, chat_format, decontamination, ngram_join, pq_dedup, secret_scan, toxicity, url_filter
+from pagewright.llm import byte_bpe, chat_format, decontamination, ngram_join, pq_dedup, secret_scan, substring_dedup, toxicity, url_filter
 from pagewright.llm.common import table
 
 #: The rules that the contract names: host, path, verdict.
@@ -54,6 +54,10 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secret_spans(table(spark, sf_dir, "documents")))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_chat_format": op2_chat_format,
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_pq_dedup": op8_pq_dedup,
     "op9_secret_scan": op9_secret_scan,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
