@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import byte_bpe, chat_format, decontamination, ngram_join, pq_dedup, secret_scan, substring_dedup, toxicity, url_filter
+from pagewright.llm import byte_bpe, chat_format, decontamination, ngram_join, pii, pq_dedup, secret_scan, substring_dedup, toxicity, url_filter
 from pagewright.llm.common import table
 
 #: The rules that the contract names: host, path, verdict.
@@ -38,6 +38,10 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.links(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_data(table(spark, sf_dir, "documents")))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op3_toxicity": op3_toxicity,
     "op4_ngram_join": op4_ngram_join,
+    "op5_pii": op5_pii,
     "op6_url_filter": op6_url_filter,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_pq_dedup": op8_pq_dedup,
