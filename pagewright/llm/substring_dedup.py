@@ -20,7 +20,7 @@ from pagewright.llm.decontamination import cut
 from pagewright.llm.ngram_join import MIX1, MIX2, mix, powers
 
 #: A word starts a chunk with this probability; a chunk has this many words at least.
-CUT = 1 / 5
+CUT = 1 / 4
 LEAST_WORDS = 16
 WINDOW = 32
 SLICE = 1 << 20
