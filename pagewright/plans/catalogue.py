@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pagewright.functions import geometry as g
 from pagewright.functions import labels, numbers
 from pagewright.functions import text as t
-from pagewright.operators import folds, markdown, metrics, ordering, planning, profiles, recognition, spatial
+from pagewright.operators import folds, grouped, markdown, metrics, ordering, planning, profiles, recognition, spatial
 from pagewright.plans.relations import BOXES_SQL, MAPS_SQL, STEPS_SQL, TRUTH_SQL, boxes, maps, pages_of_turns, score_steps, truth
 from pagewright.session import load
 
@@ -630,3 +630,88 @@ SELECT CAST(list_position(['view', 'click', 'signup', 'purchase', 'error'], stag
 def stage_report(spark, sf_dir):
     events = load(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.floor(F.col("value") * 1000).alias("micros"), (F.col("user_id") % 5).alias("items"), (F.col("user_id") % 11 == 0).alias("failed"))
     return metrics.stage_report(events, STAGES)
+
+
+# -- page kernels: no SQL, tested against their definitions ------------------------------------------------------------
+
+
+def pages_of(spark, sf_dir):
+    return boxes(spark, sf_dir).select("page").distinct().select("page", F.lit(300.0).alias("w"), F.lit(200.0).alias("h"))
+
+
+@query()
+def xycut_full(spark, sf_dir):
+    return grouped.cut_order(boxes(spark, sf_dir))
+
+
+@query()
+def yxcut_full(spark, sf_dir):
+    return grouped.cut_order(boxes(spark, sf_dir), by_columns=False)
+
+
+@query()
+def enhanced_order(spark, sf_dir):
+    blocks = boxes(spark, sf_dir).withColumns({"lines": (F.col("idx") % 3 + 1).cast("int"), "line_height": F.lit(10.0), "line_width": F.col("x2") - F.col("x1")})
+    return grouped.enhanced_order(blocks, pages_of(spark, sf_dir))
+
+
+def spans_of(spark, sf_dir):
+    """Every second box as a span with the words of its page."""
+    rows = boxes(spark, sf_dir).where("idx % 2 = 1")
+    return rows.select("page", "idx", "x1", "y1", "x2", (F.col("y1") + 9).alias("y2"), F.concat(F.lit("line "), F.col("idx").cast("string"), F.when(F.col("idx") % 3 == 0, ".").otherwise("")).alias("text"), "score")
+
+
+@query()
+def block_texts(spark, sf_dir):
+    rows = boxes(spark, sf_dir)
+    return grouped.block_texts(rows.where("idx % 2 = 0"), spans_of(spark, sf_dir), span_block_overlap(spark, sf_dir))
+
+
+@query()
+def parsed_pages(spark, sf_dir):
+    rows = boxes(spark, sf_dir)
+    html = rows.where("label = 'chart'").select("page", "idx", F.lit("<table></table>").alias("html"))
+    return grouped.parse_pages(pages_of(spark, sf_dir), rows.where("idx % 2 = 0"), spans_of(spark, sf_dir), html)
+
+
+@query()
+def parsed_markdown(spark, sf_dir):
+    """Pages parsed and written as Markdown."""
+    rows = parsed_pages(spark, sf_dir).where("error IS NULL")
+    start, end = F.when(F.col("horizontal"), F.col("x1")).otherwise(F.col("y1")), F.when(F.col("horizontal"), F.col("x2")).otherwise(F.col("y2"))
+    blocks = rows.select("page", F.col("index").alias("idx"), "label", "content", "image_path", (F.col("x2") - F.col("x1")).alias("box_width"), F.lit(300).alias("page_width"), start.cast("double").alias("start"), end.cast("double").alias("end"), "seg_start", "seg_end", "lines", "width")
+    return markdown.page_markdown(blocks)
+
+
+def score_maps(spark, sf_dir):
+    vectors = load(spark, sf_dir, "embeddings")
+    return vectors.select("vec_id", F.lit(8).alias("w"), F.lit(8).alias("h"), F.transform("embedding", lambda v: (v * 4).cast("float")).alias("scores"), F.lit(800).alias("target_w"), F.lit(600).alias("target_h"))
+
+
+@query()
+def score_map_boxes(spark, sf_dir):
+    return grouped.score_map_boxes(score_maps(spark, sf_dir), "vec_id", box_score=0.1)
+
+
+@query()
+def map_borders(spark, sf_dir):
+    return grouped.map_borders(score_maps(spark, sf_dir), "vec_id")
+
+
+@query(f"""WITH RECURSIVE {MAPS_SQL}, lit AS (SELECT vec_id, y, x, y * 8 + x AS k FROM maps WHERE CAST(CAST(v * 4 AS FLOAT) AS DOUBLE) > CAST(CAST(0.3 AS FLOAT) AS DOUBLE)),
+reach(vec_id, k, root) AS (
+  SELECT vec_id, k, k FROM lit
+  UNION
+  SELECT r.vec_id, l.k, r.root FROM reach r JOIN lit f ON f.vec_id = r.vec_id AND f.k = r.k JOIN lit l ON l.vec_id = r.vec_id AND abs(l.y - f.y) <= 1 AND abs(l.x - f.x) <= 1
+), roots AS (SELECT vec_id, k, min(root) AS root FROM reach GROUP BY vec_id, k)
+SELECT r.vec_id, CAST(row_number() OVER (PARTITION BY r.vec_id ORDER BY root) - 1 AS INTEGER) AS pos, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2, CAST(count(*) AS INTEGER) AS n
+FROM roots r JOIN lit l ON l.vec_id = r.vec_id AND l.k = r.k GROUP BY r.vec_id, root""")
+def map_areas(spark, sf_dir):
+    return grouped.map_areas(score_maps(spark, sf_dir), "vec_id").drop("error")
+
+
+@query()
+def polygon_metrics(spark, sf_dir):
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    ring = F.array(corner(F.col("x1"), F.col("y1")), corner(F.col("x2"), F.col("y1") + 3), corner(F.col("x2") + 1, F.col("y2") + 2), corner(F.col("x1") + 5, F.col("y2")))
+    return grouped.polygon_matches(truth(spark, sf_dir).withColumn("points", ring), boxes(spark, sf_dir).withColumn("points", ring))
