@@ -152,8 +152,9 @@ def verify(members: list[dict], threshold: float) -> Iterator[tuple[int, int, in
     order = np.argsort(col, kind="stable")
     own, col = own[order], col[order]
     inter = np.zeros((k, k), np.float32)  # counts below 2**24 are exact
-    slab = max(1, (8 << 20) // k)
-    for low in range(0, int(shared.sum()), slab):
+    columns = int(shared.sum())
+    slab = max(1, min(columns, (8 << 20) // k))
+    for low in range(0, columns, slab):
         a, b = np.searchsorted(col, (low, low + slab))
         dense = np.zeros((k, slab), np.float32)
         dense[own[a:b], col[a:b] - low] = 1
