@@ -1 +1 @@
-
+"""Where pages, dictionaries and models come from."""
