@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from pagewright.functions import geometry as g
 from pagewright.functions import labels, numbers
 from pagewright.functions import text as t
-from pagewright.operators import folds, grouped, markdown, metrics, ordering, planning, profiles, recognition, spatial
+from pagewright.operators import folds, grouped, markdown, metrics, ordering, output, planning, profiles, recognition, spatial
 from pagewright.plans.relations import BOXES_SQL, MAPS_SQL, STEPS_SQL, TRUTH_SQL, boxes, maps, pages_of_turns, score_steps, truth
 from pagewright.session import load
+from pagewright.sources import manifest
+from pagewright.streaming import events as stream_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -715,3 +717,79 @@ def polygon_metrics(spark, sf_dir):
     corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     ring = F.array(corner(F.col("x1"), F.col("y1")), corner(F.col("x2"), F.col("y1") + 3), corner(F.col("x2") + 1, F.col("y2") + 2), corner(F.col("x1") + 5, F.col("y2")))
     return grouped.polygon_matches(truth(spark, sf_dir).withColumn("points", ring), boxes(spark, sf_dir).withColumn("points", ring))
+
+
+# -- sources and sinks as queries --------------------------------------------------------------------------------------
+
+
+def structure_tables(spark, sf_dir):
+    """Structure tokens of each embedding, as a table."""
+    vocab = ["sos", "<tr>", "</tr>", "</td>", "<td", ">", "<td></td>", "eos"]
+    steps = score_steps(spark, sf_dir, 8).withColumn("box", F.transform("scores", lambda v: v.cast("double") * 100))
+    return recognition.structure_decode(steps, vocab, "vec_id")
+
+
+TOKENS_SQL = """s AS (SELECT vec_id, t, list_slice(embedding, t * 8 + 1, t * 8 + 8) AS scores FROM embeddings, (SELECT unnest(range(8)) AS t)),
+b AS (SELECT vec_id, t, list_position(scores, list_max(scores)) - 1 AS c FROM s), e AS (SELECT *, min(CASE WHEN t > 0 AND c = 7 THEN t END) OVER (PARTITION BY vec_id) AS stop FROM b),
+k AS (SELECT vec_id, t, ['<tr>', '</tr>', '</td>', '<td', '>', '<td></td>'][c] AS token FROM e WHERE (stop IS NULL OR t < stop) AND c NOT IN (0, 7))"""
+
+
+@query(f"""WITH {TOKENS_SQL}, f AS (SELECT *, sum(CAST(token = '<tr>' AS INTEGER)) OVER w AS tr, sum(CAST(token = '</tr>' AS INTEGER)) OVER w AS ended, sum(CAST(token IN ('</td>', '<td></td>') AS INTEGER)) OVER w - 1 AS cell FROM k WINDOW w AS (PARTITION BY vec_id ORDER BY t)),
+r AS (SELECT vec_id, tr, min(cell) AS start FROM f WHERE token IN ('</td>', '<td></td>') AND tr > ended GROUP BY vec_id, tr)
+SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY tr) - 1 AS INTEGER) AS row, CAST(start AS INTEGER) AS start FROM r""")
+def row_start_indices(spark, sf_dir):
+    return recognition.row_starts(structure_tables(spark, sf_dir), "vec_id")
+
+
+@query(f"""WITH {TOKENS_SQL}, f AS (SELECT *, contains(token, '</td>') AS closes, sum(CAST(contains(token, '</td>') AS INTEGER)) OVER (PARTITION BY vec_id ORDER BY t) - 1 AS cell FROM k)
+SELECT v.vec_id, '<html><body><table>' || coalesce(string_agg(CASE WHEN NOT closes THEN token WHEN cell < 2 THEN CASE WHEN token = '<td></td>' THEN '<td>cell ' || cell || '</td>' ELSE 'cell ' || cell || token END ELSE token END, '' ORDER BY t), '') || '</table></body></html>' AS html
+FROM (SELECT DISTINCT vec_id FROM s) v LEFT JOIN f ON f.vec_id = v.vec_id GROUP BY v.vec_id""")
+def table_html(spark, sf_dir):
+    """Tables with texts for the first two cells; all cells are one row."""
+    tables = structure_tables(spark, sf_dir).select("vec_id", "tokens")
+    cells = tables.select("vec_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("position"))
+    matches = cells.select("vec_id", F.lit(0).alias("row"), "position", F.lit(0).alias("n"), F.concat(F.lit("cell "), F.col("position").cast("string")).alias("text"))
+    starts = tables.select("vec_id", F.lit(0).alias("row"), F.lit(0).alias("start"))
+    return recognition.table_html(tables, matches, starts, "vec_id")
+
+
+@query("""WITH e AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN repeat('0', 64) ELSE sha256(text) END AS want, CASE WHEN doc_id % 7 = 0 THEN 1 WHEN doc_id % 3 = 0 THEN NULL ELSE strlen(text) END AS size FROM documents)
+SELECT CAST(e.doc_id AS VARCHAR) AS name, CASE WHEN d.doc_id IS NULL THEN 'missing' WHEN size IS NOT NULL AND size <> strlen(text) THEN 'size' WHEN sha256(text) <> want THEN 'digest' END AS fault
+FROM e LEFT JOIN (SELECT * FROM documents WHERE doc_id % 11 <> 0) d ON d.doc_id = e.doc_id
+WHERE d.doc_id IS NULL OR (size IS NOT NULL AND size <> strlen(text)) OR sha256(text) <> want""")
+def manifest_resolve(spark, sf_dir):
+    """Documents as model files: every eleventh is missing, others are stated with a wrong size or digest."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    name, k = F.col("doc_id").cast("string").alias("name"), F.col("doc_id")
+    length = F.length("content").cast("bigint")
+    expected = docs.select(name, F.when(k % 5 == 0, F.repeat(F.lit("0"), F.lit(64))).otherwise(F.sha2("content", 256)).alias("sha256"), F.when(k % 7 == 0, 1).when(k % 3 == 0, F.lit(None)).otherwise(length).alias("bytes"))
+    return manifest.resolve(expected, docs.where(k % 11 != 0).select(name, length.alias("length"), "content"))
+
+
+@query("""SELECT doc_id, CAST(generate_subscripts(string_split(regexp_replace(text, '\\n$', ''), chr(10)), 1) AS INTEGER) AS class_id, sha256(regexp_replace(unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))), '\\r$', '')) AS entry FROM documents""")
+def dictionary_scan(spark, sf_dir):
+    """Every document read as a dictionary: an entry a line."""
+    rows = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n", -1)).alias("pos", "entry"))
+    return rows.select("doc_id", (F.col("pos") + 1).alias("class_id"), F.sha2(F.regexp_replace("entry", r"\r\z", ""), 256).alias("entry"))
+
+
+@query(f"""WITH {BOXES_SQL} SELECT CAST(page AS VARCHAR) AS doc_id, 0 AS page, '{{"schema_version":"pagewright/layout-result/v1","input":{{"id":"' || page || '","page_index":0,"width":300,"height":200}},"model":null,"regions":[' ||
+  string_agg('{{"label":"' || label || '","score":' || printf('%.10f', score) || ',"box":[' || printf('%.10f', x1) || ',' || printf('%.10f', y1) || ',' || printf('%.10f', x2) || ',' || printf('%.10f', y2) || ']}}', ',' ORDER BY idx) || ']}}' AS json FROM boxes GROUP BY page""")
+def layout_json(spark, sf_dir):
+    found = boxes(spark, sf_dir).withColumns({"doc_id": F.col("page").cast("string"), "page": F.lit(0), "pos": F.col("idx")})
+    sizes = found.select("doc_id", "page").distinct().withColumns({"w": F.lit(300), "h": F.lit(200)})
+    return output.layout_documents(found, sizes)
+
+
+@query(f"""WITH {BOXES_SQL} SELECT CAST(page AS VARCHAR) AS doc_id, CAST(idx AS BIGINT) AS pos, page || chr(9) || printf('%.6f', score) || chr(9) || label AS value FROM boxes""")
+def tsv_lines(spark, sf_dir):
+    lines = boxes(spark, sf_dir).select(F.col("page").cast("string").alias("doc_id"), F.lit(0).alias("page"), F.col("idx").alias("pos"), "score", F.col("label").alias("text"))
+    return output.text_lines(lines, named=True).drop("page")
+
+
+@query("""SELECT date_trunc('hour', ts) AS start, event_type AS stage, count(*) AS calls, CAST(sum(CAST(floor(value * 1000) AS BIGINT)) AS BIGINT) AS micros FROM events GROUP BY ALL""")
+def extension_event_windows(spark, sf_dir):
+    """An extension: hourly windows of events, by the same function that streams use."""
+    events = load(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("stage"), F.floor(F.col("value") * 1000).alias("micros"))
+    totals = stream_events.windowed_totals(events, size="1 hour")
+    return totals.select(F.col("start").cast("timestamp_ntz").alias("start"), "stage", "calls", "micros")
