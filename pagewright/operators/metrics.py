@@ -5,23 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.functions import geometry as g
 from pagewright.functions import text as t
-from pagewright.operators.folds import greedy_matches
-from pagewright.operators.spatial import absorbed
 
 #: What keeps the two accuracies from dividing by zero; they differ.
 RECOGNITION_EPSILON, TABLE_EPSILON = 1e-5, 1e-6
 
 
-def page_counts(truth: DataFrame, detections: DataFrame) -> DataFrame:
-    """(page, gt_care, det_care, matched): truth has a boolean column ignored; detections that lie mostly in ignored truth don't count."""
-    care, ignored = truth.where(~F.col("ignored")), truth.where("ignored")
-    out = absorbed(detections, ignored).select("page", "idx", F.lit(1).alias("out"))
-    left = detections.join(out, ["page", "idx"], "left").where("out IS NULL").drop("out")
-    matched = greedy_matches(care, left).groupBy("page").agg(F.count("*").alias("matched"))
-    pages = truth.groupBy("page").agg(F.count(F.when(~F.col("ignored"), 1)).alias("gt_care")).join(left.groupBy("page").agg(F.count("*").alias("det_care")), "page", "full")
-    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
-    return pages.join(matched, "page", "left").select("page", zero("gt_care"), zero("det_care"), zero("matched"))
+def page_counts(truth: DataFrame, detections: DataFrame, threshold: float = 0.5, share: float = 0.5) -> DataFrame:
+    """(page, gt_care, det_care, matched): truth has a boolean column ignored; detections of which more than the share lies in an ignored truth don't count. Each other truth, in index order, takes the first free detection with an IoU above the threshold.
+
+    Both sides of a page become arrays, each by one aggregation, and meet in one join; the rest happens in the row.
+    """
+    corners = ("x1", "y1", "x2", "y2")
+    side = lambda rows, name, *more: rows.groupBy("page").agg(F.array_sort(F.collect_list(F.struct(F.col("idx").cast("int").alias("idx"), *corners, *more))).alias(name))
+    rows = side(truth, "gt", "ignored").join(side(detections, "det"), "page", "full")
+    none = lambda c: F.coalesce(F.col(c), F.array().cast(rows.schema[c].dataType))
+    rows = rows.select("page", none("gt").alias("gt"), none("det").alias("det"))
+    rows = rows.select("page", F.filter("gt", lambda t: ~t["ignored"]).alias("care"), F.filter("det", lambda d: ~F.exists("gt", lambda t: t["ignored"] & (g.over_second(g.box_of(t), g.box_of(d)) > share))).alias("det"))
+
+    def take(used: Column, t_: Column) -> Column:
+        fits = F.filter("det", lambda d: ~F.array_contains(used, d["idx"]) & (g.iou(g.box_of(d), g.box_of(t_)) > threshold))
+        return F.when(F.size(fits) > 0, F.array_append(used, F.get(fits, F.lit(0))["idx"])).otherwise(used)
+
+    matched = F.size(F.aggregate("care", F.array().cast("array<int>"), take))
+    return rows.select("page", *[c.cast("bigint").alias(n) for n, c in (("gt_care", F.size("care")), ("det_care", F.size("det")), ("matched", matched))])
 
 
 def detection_scores(counts: DataFrame) -> DataFrame:

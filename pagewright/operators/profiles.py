@@ -17,11 +17,13 @@ def projection(boxes: DataFrame, axis: str = "x") -> DataFrame:
     low, high = F.col(f"{axis}1").cast("bigint"), F.col(f"{axis}2").cast("bigint")
     extent = boxes.groupBy("page").agg(F.least(F.min(low), F.min(high)).alias("least"), F.greatest(F.max(low), F.max(high)).alias("most"))
     extent = extent.select("page", F.when(F.col("least") < 0, -F.col("least")).otherwise(F.col("most")).alias("extent")).where(F.col("extent").between(1, MAX_EXTENT))
-    steps = boxes.select("page", F.abs(low).alias("a"), F.abs(high).alias("b")).where("a < b").select("page", F.explode(F.array(F.struct(F.col("a").alias("place"), F.lit(1).alias("d")), F.struct(F.col("b").alias("place"), F.lit(-1).alias("d")))).alias("s"))
-    steps = steps.groupBy("page", F.col("s.place").alias("place")).agg(F.sum("s.d").alias("d"))
-    grid = extent.select("page", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("extent") - 1)).alias("place"))
-    running = Window.partitionBy("page").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    return grid.join(steps, ["page", "place"], "left").select("page", "place", F.sum(F.coalesce("d", F.lit(0))).over(running).cast("bigint").alias("n"))
+    ends = F.array(F.struct(F.col("a").alias("place"), F.lit(1).alias("d")), F.struct(F.col("b").alias("place"), F.lit(-1).alias("d")))
+    steps = boxes.select("page", F.abs(low).alias("a"), F.abs(high).alias("b")).where("a < b").select("page", F.explode(ends).alias("s")).select("page", "s.place", "s.d")
+    steps = steps.unionByName(extent.select("page", F.lit(0).cast("bigint").alias("place"), F.lit(0).alias("d"))).groupBy("page", "place").agg(F.sum("d").alias("d"))
+    order = Window.partitionBy("page").orderBy("place")
+    steps = steps.withColumn("n", F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("after", F.lead("place").over(order))
+    runs = steps.join(extent, "page").where("place < extent").withColumn("end", F.least(F.coalesce("after", "extent"), "extent"))
+    return runs.select("page", F.explode(F.sequence("place", F.col("end") - 1)).alias("place"), F.col("n").cast("bigint").alias("n"))
 
 
 def split_profile(histogram: DataFrame, min_value: int = 0, min_gap: int = 1) -> DataFrame:

@@ -82,6 +82,15 @@ def detection_prf(spark, sf_dir):
     return rows.select("gt_care", "det_care", "matched", *[six(F.col(c)).alias(c) for c in ("precision", "recall", "hmean")])
 
 
+@query(f"""{MATCH_SQL}, m AS (SELECT page, n, gs, ds FROM walk QUALIFY n = max(n) OVER (PARTITION BY page))
+SELECT page, CAST(unnest(gs) AS INTEGER) AS gt_idx, CAST(unnest(ds) AS INTEGER) AS det_idx FROM m""")
+def greedy_matches(spark, sf_dir):
+    """The matched pairs themselves, over detections that aren't absorbed by ignored truth."""
+    own, found = truth(spark, sf_dir), boxes(spark, sf_dir)
+    out = spatial.absorbed(found, own.where("ignored")).select("page", "idx")
+    return folds.greedy_matches(own.where("NOT ignored"), found.join(out, ["page", "idx"], "left_anti"))
+
+
 # -- spatial joins -----------------------------------------------------------------------------------------------------
 
 
