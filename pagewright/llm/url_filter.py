@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Keys that the range boundaries are taken from. They steer how even the ranges are, never the result.
+#: About how many keys the range boundaries are taken from, drawn by a hash of their rows. They steer how even the ranges are, never the result.
 BOUNDARY_KEYS = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -84,7 +84,9 @@ def judge(pages: DataFrame, rules: DataFrame, id_column: str = "page_id", url_co
     rows = pages.select(F.col(id_column).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
     rows = rows.withColumn("key", host_key(F.col("host"))).withColumn("salt", F.xxhash64("id", "path"))
     ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sample = sorted((r[0], r[1]) for r in rows.select("key", "path", F.xxhash64("key", "path", "salt").alias("h")).orderBy("h").limit(BOUNDARY_KEYS).drop("h").collect())
+    share = min(1.0, BOUNDARY_KEYS / max(1, rows.count()))
+    drawn = rows.where(F.pmod(F.xxhash64("key", "path", "salt"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = sorted((r[0], r[1]) for r in drawn.select("key", "path").collect())
     bounds = [sample[len(sample) * k // ranges] for k in range(1, ranges)] if sample else []
     edge = spark.sparkContext.broadcast(bounds)  # ranges rows at most
 
