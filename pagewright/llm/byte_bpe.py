@@ -26,31 +26,21 @@ from pagewright.llm.common import free_name, slices
 QUERY_BYTES = 400_000
 MEMORY = 250_000
 
-#: A token row knows the position and the token after it, so that a contraction touches three rows of its word; ranks are token ids, and positions take 20 bits beside them.
+#: Each step unnests a word's tokens to rows of a position and its neighbour, joins them with the merge table, and contracts the least rank's leftmost pair; ranks are token ids, and positions take 20 bits beside them.
 CONTRACT = """
-WITH RECURSIVE state(word, pos, next, tok, after, step) AS (
-    SELECT word, pos, pos + 1, tok, after, 0 FROM start
+WITH RECURSIVE state(word, toks, step) AS (
+    SELECT word, toks, 0 FROM start
   UNION ALL
-    SELECT s.word, s.pos,
-           CASE WHEN s.pos = b.pos THEN b.beyond ELSE s.next END,
-           CASE WHEN s.pos = b.pos THEN b.merged ELSE s.tok END,
-           CASE WHEN s.pos = b.pos THEN b.last WHEN s.next = b.pos THEN b.merged ELSE s.after END,
-           s.step + 1
+    SELECT s.word, list_concat(list_append(s.toks[:(b.best & 1048575) - 1], CAST(b.best >> 20 AS INTEGER)), s.toks[(b.best & 1048575) + 2:]), s.step + 1
     FROM state s
     JOIN (
-        SELECT l.word, l.pos, l.next, least.best >> 20 AS merged, r.next AS beyond, r.after AS last
-        FROM (
-            SELECT word, min((CAST(merged AS BIGINT) << 20) + pos) AS best
-            FROM state JOIN merges m ON m.l = tok AND m.r = after GROUP BY word
-        ) least
-        JOIN state l ON l.word = least.word AND l.pos = least.best & 1048575
-        JOIN state r ON r.word = l.word AND r.pos = l.next
+        SELECT word, min((CAST(m.merged AS BIGINT) << 20) + pos) AS best
+        FROM (SELECT word, unnest(toks[:-2]) AS tok, unnest(toks[2:]) AS after, unnest(range(1, len(toks))) AS pos FROM state) p
+        JOIN merges m ON m.l = p.tok AND m.r = p.after
+        GROUP BY word
     ) b ON b.word = s.word
-    WHERE s.pos <> b.next
 )
-SELECT s.word, CAST(s.tok AS INTEGER) AS tok
-FROM state s JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) f ON f.word = s.word AND f.step = s.step
-ORDER BY s.word, s.pos
+SELECT word, arg_max(toks, step) AS toks FROM state GROUP BY word
 """
 DECODE = "SELECT word, string_agg(v.bytes, '' ORDER BY pos) AS bytes FROM ids JOIN vocabulary v USING (tok) GROUP BY word"
 
@@ -61,13 +51,28 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+class Pieces(dict):
+    """Entries [ids as 32-bit integers, decoded bytes] by piece. A piece met for the first time gets an empty entry, which is filled when the batch's open pieces are learned; one of the older generation moves here."""
+
+    def __init__(self, older: dict[str, list]):
+        super().__init__()
+        self.older, self.open = older, []
+
+    def __missing__(self, piece: str) -> list:
+        entry = self.older.get(piece)
+        if entry is None:
+            entry = [b"", b""]
+            self.open.append(piece)
+        self[piece] = entry
+        return entry
+
+
 class Bpe:
     """One worker's DuckDB connection with the merge table, and the pieces it has seen lately."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = ranks, regex.compile(pattern).findall
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.older: dict[str, tuple[bytes, bytes]] = {}
+        self.known = Pieces({})
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         pairs = [(ranks[t[:k]], ranks[t[k:]], rank) for t, rank in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
@@ -81,7 +86,7 @@ class Bpe:
         self.db.unregister("rows_")
 
     def learn(self, pieces: list[str]) -> None:
-        """Encodes and decodes pieces that are not known yet."""
+        """Fills the entries of open pieces."""
         size, group = 0, []
         for piece in pieces:
             group.append((piece, raw := piece.encode("utf-8", "replace")))
@@ -94,40 +99,32 @@ class Bpe:
 
     def _learn(self, group: list[tuple[str, bytes]]) -> None:
         # a piece that is a token as a whole is that token
-        word = [np.array([k], np.int32) for k, (_, raw) in enumerate(group) if raw in self.ranks]
-        tok = [np.array([self.ranks[raw]], np.int32) for _, raw in group if raw in self.ranks]
-        if rest := [k for k, (_, raw) in enumerate(group) if raw not in self.ranks]:
-            length = np.array([len(group[k][1]) for k in rest])
-            ends = np.cumsum(length)
+        rest = [k for k, (_, raw) in enumerate(group) if raw not in self.ranks]
+        word = [k for k, (_, raw) in enumerate(group) if raw in self.ranks]
+        size, tok = [1] * len(word), [self.ranks[group[k][1]] for k in word]
+        if rest:
+            ends = np.cumsum([0, *(len(group[k][1]) for k in rest)]).astype(np.int32)
             start = self.bytes[np.frombuffer(b"".join(group[k][1] for k in rest), np.uint8)]
-            after = np.append(start[1:], np.int32(-1))
-            after[ends - 1] = -1
-            pos = np.arange(len(start)) - np.repeat(ends - length, length)
-            self._table("start", word=np.repeat(np.array(rest, np.int32), length), pos=pos.astype(np.int32), tok=start, after=after)
-            done = self.db.execute(CONTRACT).fetchnumpy()
-            word.append(np.asarray(done["word"], np.int32))
-            tok.append(np.asarray(done["tok"], np.int32))
-        word, tok = np.concatenate(word), np.concatenate(tok)
-        first = np.flatnonzero(np.diff(word, prepend=-1))
-        size = np.diff(np.append(first, len(word)))
-        self._table("ids", word=word, pos=(np.arange(len(word)) - np.repeat(first, size)).astype(np.int32), tok=tok)
+            self._table("start", word=np.array(rest, np.int32), toks=pa.ListArray.from_arrays(pa.array(ends), pa.array(start)))
+            done = self.db.sql(CONTRACT).to_arrow_table()
+            lists = done["toks"].combine_chunks()
+            word = np.concatenate([np.array(word, np.int32), done["word"].to_numpy()])
+            size = np.concatenate([np.array(size, np.int64), np.diff(lists.offsets.to_numpy())])
+            tok = np.concatenate([np.array(tok, np.int32), lists.flatten().to_numpy()])
+        word, size, tok = np.asarray(word, np.int32), np.asarray(size, np.int64), np.asarray(tok, np.int32)
+        first = np.cumsum(size) - size
+        self._table("ids", word=np.repeat(word, size), pos=(np.arange(len(tok)) - np.repeat(first, size)).astype(np.int32), tok=tok)
         raw = dict(self.db.execute(DECODE).fetchall())
-        for k, at, n in zip(word[first].tolist(), first.tolist(), size.tolist()):
-            self.known[group[k][0]] = (tok[at : at + n].tobytes(), bytes.fromhex(raw[k]))
+        for k, at, n in zip(word.tolist(), first.tolist(), size.tolist()):
+            self.known[group[k][0]][:] = tok[at : at + n].tobytes(), bytes.fromhex(raw[k])
 
-    def code(self, texts: list[str | None]) -> list[list[tuple[bytes, bytes]]]:
-        """For each text its pieces in order, as (ids as 32-bit integers, decoded bytes)."""
+    def code(self, texts: list[str | None]) -> list[list[list[bytes]]]:
+        """For each text the entries of its pieces in order."""
         if len(self.known) > MEMORY:
-            self.known, self.older = {}, self.known
-        split = [self.split(t) if t else [] for t in texts]
-        found = [list(map(self.known.get, pieces)) for pieces in split]
-        open_ = [k for k, x in enumerate(found) if None in x]
-        new = {p for k in open_ for p, x in zip(split[k], found[k]) if x is None}
-        for p in new & self.older.keys():
-            self.known[p] = self.older[p]
-        self.learn(sorted(new - self.older.keys(), key=len))
-        for k in open_:
-            found[k] = [self.known[p] for p in split[k]]
+            self.known = Pieces(dict(self.known))
+        found = [list(map(self.known.__getitem__, self.split(t))) if t else [] for t in texts]
+        pieces, self.known.open = self.known.open, []
+        self.learn(sorted(pieces, key=len))
         return found
 
 
