@@ -161,35 +161,39 @@ HITS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("span
 ARROW_HITS = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
-    """(id, hits): n_words, marked word ranges and the items whose windows occur, a row for each row of docs.
-
-    Null and empty texts have no words and no hits; repeated rows and null ids are kept; an empty benchmark marks
-    nothing. Items beyond max_words words are matched by further passes over a written table.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"), F.lit(None).cast(HITS).alias("hits"))
-    last = None
+def with_hits(rows: DataFrame, benchmark: DataFrame, name: str, text_column: str = "text", item_column: str = "item_id", item_text: str = "text", window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
+    """rows and a column of that name: n_words, marked word ranges and the items whose windows occur. Items beyond max_words words are matched by further passes over a written table."""
+    last, rows = None, rows.withColumn(name, F.lit(None).cast(HITS))
     for items in item_groups(benchmark, item_column, item_text, max_words):
         if last is not None:
             rows = written(last, "decontamination")
-        machine = spark.sparkContext.broadcast(SuffixAutomaton(items, window))  # bounded by max_words
+        machine = rows.sparkSession.sparkContext.broadcast(SuffixAutomaton(items, window))  # bounded by max_words
 
         def scan(batches: Iterator[pa.RecordBatch], machine=machine) -> Iterator[pa.RecordBatch]:
             automaton = machine.value
-            for batch in slices(batches, "text"):
-                out = []
-                for text, old in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for batch in slices(batches, text_column):
+                at, to, out = batch.schema.get_field_index(text_column), batch.num_columns - 1, []
+                for text, old in zip(batch.column(at).to_pylist(), batch.column(to).to_pylist()):
                     words = words_of(text)
                     spans, found = automaton.match(words)
                     if old:
                         spans, found = merged([*spans, *map(tuple, old["spans"])]), found | set(old["items"])
                     out.append({"n_words": len(words), "spans": spans, "items": sorted(found)})
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, ARROW_HITS)], names=["id", "text", "hits"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, ARROW_HITS)], names=batch.schema.names)
 
         last = rows.mapInArrow(scan, rows.schema)
-    name = free_name([id_column], "hits")
-    return last.select(F.col("id").alias(id_column), F.col("hits").alias(name))
+    return last
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
+    """(id, hits): n_words, marked word ranges and the items whose windows occur, a row for each row of docs.
+
+    Null and empty texts have no words and no hits; repeated rows and null ids are kept; an empty benchmark marks
+    nothing.
+    """
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
+    found = with_hits(rows, benchmark, "hits", "text", item_column, item_text, window, max_words)
+    return found.select(F.col("id").alias(id_column), F.col("hits").alias(free_name([id_column], "hits")))
 
 
 def marked_words(hits) -> Column:
@@ -198,12 +202,12 @@ def marked_words(hits) -> Column:
 
 def digest(found: DataFrame) -> DataFrame:
     """The contract's columns from (doc_id, hits)."""
-    h, (num, den) = F.col("hits"), COVERAGE
+    h = F.col("hits")
     n = marked_words(h)
     return found.select(
         "doc_id", h["n_words"].alias("n_words"), n.alias("n_hit"), F.size(h["items"]).cast("long").alias("n_items"),
         F.sha2(F.array_join(h["items"], ","), 256).alias("items_sha256"),
-        ((n > 0) & (F.lit(den) * n >= F.lit(num) * h["n_words"])).alias("contaminated"),
+        over_limit(h, COVERAGE).alias("contaminated"),
     )
 
 
@@ -224,44 +228,60 @@ def cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(out)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", window: int = WINDOW, coverage: tuple[int, int] = COVERAGE, max_words: int = MAX_WORDS, length_column: str | None = "n_chars") -> DataFrame:
+def over_limit(hits: Column, coverage: tuple[int, int]) -> Column:
+    n, (num, den) = marked_words(hits), coverage
+    return (n > 0) & (F.lit(den) * n >= F.lit(num) * hits["n_words"])
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", window: int = WINDOW, coverage: tuple[int, int] = COVERAGE, max_words: int = MAX_WORDS, length_column: str = "n_chars") -> DataFrame:
     """docs with the marked spans cut from each document whose marked share reaches the coverage limit.
 
-    A document below the limit stays as it is, in full. Cutting joins what stood around a span; it is repeated until
-    the share is below the limit. A document left without any word goes. length_column, if there, is set anew for cut
-    texts. Other columns pass through, whatever their names; null texts stay.
+    A document below the limit stays as it is, in full. Cutting joins what stood around a span, so cut texts are matched
+    again until none is over the limit. A document left without any word goes. length_column, if there, is set anew for
+    cut texts. Other columns pass through, whatever their names; null texts stay.
     """
-    num, den = coverage
-    out = docs
-    has_length = length_column in docs.columns if length_column else False
+    name = free_name(docs.columns, "hits")
+    rows = docs
     for items in item_groups(benchmark, "item_id", "text", max_words):
-        if out is not docs:
-            out = written(out, "decontaminated")
+        if rows is not docs:
+            break  # more than one automaton: shares are known only after all of them
         machine = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(items, window))
+        rows = _cut_by(docs, text_column, length_column, coverage, lambda words, machine=machine: machine.value.match(words)[0])
+    else:
+        return rows
+    rows = docs
+    while True:
+        found = written(with_hits(rows, benchmark, name, text_column, window=window, max_words=max_words), "decontaminated")
+        if not found.where(over_limit(F.col(name), coverage)).limit(1).count():
+            return found.select(*docs.columns)
+        rows = _cut_by(found, text_column, length_column, coverage, None, name).select(*docs.columns)
+
+
+def _cut_by(rows: DataFrame, text_column: str, length_column: str, coverage: tuple[int, int], match, hits: str | None = None) -> DataFrame:
+    """rows with texts cut where the marked share is over the limit: by match, again and again, or once by the ranges in the column hits."""
+    num, den = coverage
 
-        def scan(batches: Iterator[pa.RecordBatch], machine=machine) -> Iterator[pa.RecordBatch]:
-            automaton = machine.value
-            for batch in slices(batches, text_column):
-                at = batch.schema.get_field_index(text_column)
-                texts, keep, changed = batch.column(at).to_pylist(), [], {}
-                for i, text in enumerate(texts):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_column):
+            at = batch.schema.get_field_index(text_column)
+            texts, keep, changed = batch.column(at).to_pylist(), [], {}
+            known = batch.column(batch.schema.get_field_index(hits)).to_pylist() if hits else None
+            for i, text in enumerate(texts):
+                words = words_of(text)
+                spans = match(words) if match else [tuple(s) for s in known[i]["spans"]]
+                while spans and den * sum(b - a for a, b in spans) >= num * len(words):
+                    changed[i] = text = cut(text.encode("utf-8", "replace"), spans).decode("utf-8", "replace")
                     words = words_of(text)
-                    spans, _ = automaton.match(words)
-                    while spans and den * sum(b - a for a, b in spans) >= num * len(words):
-                        text = cut(text.encode("utf-8", "replace"), spans).decode("utf-8", "replace")
-                        changed[i] = text
-                        words = words_of(text)
-                        spans, _ = automaton.match(words)
-                    if i not in changed or words:
-                        keep.append(i)
-                if changed:
-                    texts = [changed.get(i, t) for i, t in enumerate(texts)]
-                    batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-                    if has_length:
-                        to = batch.schema.get_field_index(length_column)
-                        sizes = [len(texts[i]) if i in changed else n for i, n in enumerate(batch.column(to).to_pylist())]
-                        batch = batch.set_column(to, batch.schema.field(to), pa.array(sizes, batch.schema.field(to).type))
-                yield batch if len(keep) == batch.num_rows else batch.take(pa.array(keep, pa.int64()))
-
-        out = out.mapInArrow(scan, docs.schema)
-    return out
+                    spans = match(words) if match else []
+                if i not in changed or words:
+                    keep.append(i)
+            if changed:
+                texts = [changed.get(i, t) for i, t in enumerate(texts)]
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+                if length_column in batch.schema.names:
+                    to = batch.schema.get_field_index(length_column)
+                    sizes = [len(texts[i]) if i in changed else n for i, n in enumerate(batch.column(to).to_pylist())]
+                    batch = batch.set_column(to, batch.schema.field(to), pa.array(sizes, batch.schema.field(to).type))
+            yield batch if len(keep) == batch.num_rows else batch.take(pa.array(keep, pa.int64()))
+
+    return rows.mapInArrow(scan, rows.schema)

@@ -73,6 +73,16 @@ def test_decontaminate_cuts(spark):
     assert key(empty.collect()) == key(docs) and empty.limit(0).count() == 0
 
 
+@pytest.mark.parametrize("max_words", [200_000, 30])
+def test_decontaminate_judges_all_items_together(spark, max_words):
+    items = [" ".join(f"{c}{i}" for i in range(14)) for c in "abcdef"]
+    filler = " ".join(f"z{i}" for i in range(500))
+    docs = [(1, f"{filler} {items[0]} q {items[1]}"), (2, f"{filler} {items[0]}"), (3, " ".join(items)), (4, None), (5, f"{items[2]} {' '.join(items[3].split()[:7])} {items[4]} {' '.join(items[3].split()[7:])} tail")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in decontamination.decontaminate(frame, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), max_words=max_words).collect()}
+    assert got == {1: f"{filler} q", 2: docs[1][1], 4: None, 5: " tail"}  # what a cut joins to an item is cut too
+
+
 def brute_secrets(text):
     out = []
     for kind, pattern in (("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), ("access", r"AKIA[A-Z0-9]+"), ("hex", r"[0-9a-f]+")):
