@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 
@@ -84,8 +85,8 @@ def hull(points: list[Point]) -> list[Point]:
     return chain(points) + chain(points[::-1])
 
 
-def smallest_rectangle(points: list[Point]) -> tuple[Point, Point, float]:
-    """(centre, size, angle in degrees) of the least rectangle along a hull edge; of equal areas the last."""
+def smallest_rectangle(points: list[Point], first: bool = False) -> tuple[Point, Point, float]:
+    """(centre, size, angle in degrees) of the least rectangle along a hull edge; of equal areas the last, or the first if asked for."""
     corners = hull(points)
     if len(corners) == 1:
         return corners[0], (0.0, 0.0), 0.0
@@ -99,7 +100,7 @@ def smallest_rectangle(points: list[Point]) -> tuple[Point, Point, float]:
         u = [x * ux + y * uy for x, y in corners]
         v = [y * ux - x * uy for x, y in corners]
         w, h = max(u) - min(u), max(v) - min(v)
-        if w * h <= least + 1e-12:
+        if w * h < least if first else w * h <= least + 1e-12:
             least = min(least, w * h)
             cu, cv = (min(u) + max(u)) * 0.5, (min(v) + max(v)) * 0.5
             best = (cu * ux - cv * uy, cu * uy + cv * ux), (w, h), math.degrees(math.atan2(uy, ux))
@@ -290,3 +291,34 @@ def labelled_areas(bitmap: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         s = out.setdefault(root((y, x)), [x, y, x, y, 0])
         s[:] = [min(s[0], x), min(s[1], y), max(s[2], x), max(s[3], y), s[4] + 1]
     return [tuple(out[k]) for k in sorted(out)]
+
+
+def polygon_pixels(outline: list[tuple[int, int]], width: int, height: int) -> np.ndarray:
+    """Pixels of an integer polygon: its edges, and what an odd number of edges lies left of, in each row; crossings go to the nearest pixel, halves down."""
+    mask = np.zeros((height, width), bool)
+    ring = list(zip(outline, outline[1:] + outline[:1]))
+    for a, b in ring:
+        for x, y in _edge_pixels(a, b):
+            if 0 <= x < width and 0 <= y < height:
+                mask[y, x] = True
+    for y in range(height):
+        crossings = []
+        for (ax, ay), (bx, by) in ring:
+            if min(ay, by) <= y < max(ay, by):
+                crossings.append(Fraction(ax * (by - ay) + (y - ay) * (bx - ax), by - ay))
+        ends = [math.ceil(c - Fraction(1, 2)) for c in sorted(crossings)]
+        for left, right in zip(ends[::2], ends[1::2]):
+            mask[y, max(left, 0) : max(min(right, width - 1) + 1, 0)] = True
+    return mask
+
+
+def polygon_score(scores: np.ndarray, outline: list[Point]) -> float:
+    """Mean of the scores in an outline that need not be convex, edges included; 0 without any pixel."""
+    height, width = scores.shape
+    clip = lambda v, most: min(max(int(v), 0), most - 1)
+    xs, ys = [p[0] for p in outline], [p[1] for p in outline]
+    x0, x1 = clip(math.floor(min(xs)), width), clip(math.ceil(max(xs)), width)
+    y0, y1 = clip(math.floor(min(ys)), height), clip(math.ceil(max(ys)), height)
+    mask = polygon_pixels([(int(x - x0), int(y - y0)) for x, y in outline], x1 - x0 + 1, y1 - y0 + 1)
+    held = scores[y0 : y1 + 1, x0 : x1 + 1].astype(np.float64)[mask]
+    return float(held.sum() / len(held)) if len(held) else 0.0

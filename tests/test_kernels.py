@@ -168,6 +168,23 @@ def test_growth_and_score():
         shapes.map_boxes(np.full((2, 2), np.nan), (2, 2))
 
 
+def test_polygon_score():
+    square = [(3, 3), (12, 3), (12, 9), (3, 9)]
+    assert shapes.polygon_pixels(square, 20, 15).sum() == 70
+    notch = [(0, 0), (8, 0), (8, 8), (4, 4), (0, 8)]
+    mask = shapes.polygon_pixels(notch, 9, 9)
+    assert mask[2].all() and mask[7].tolist() == [True, True, *[False] * 5, True, True]
+    scores = np.arange(300, dtype=np.float32).reshape(15, 20)
+    assert shapes.polygon_score(scores, square) == pytest.approx(scores[3:10, 3:13].mean())
+    assert shapes.polygon_score(scores, [(50, 50), (60, 50), (60, 60)]) in (0.0, 299.0)
+
+
+def test_first_of_equal_rectangles():
+    points = [(4.0, 3.0), (8.0, 3.0), (12.0, 3.0), (12.0, 9.0), (8.0, 6.0), (4.0, 9.0)]
+    rect = shapes.smallest_rectangle(points, first=True)
+    assert min(rect[1]) == pytest.approx(6) and shapes.rectangle_corners(rect) == [pytest.approx(p) for p in ((4, 3), (12, 3), (12, 9), (4, 9))]
+
+
 def test_polygons():
     square = [(0, 0), (10, 0), (10, 10), (0, 10)]
     assert shapes.clipped_area(square, [(5, 5), (15, 5), (15, 15), (5, 15)]) == pytest.approx(25)
