@@ -270,3 +270,25 @@ def test_streams(spark, small, tmp_path):
     assert spark.table("once").count() == rows.select("user_id").distinct().count()
     batch = events.sessions(spark.read.parquet(str(tmp_path / "in")), "user_id", gap="1 hour")
     assert batch.agg(F.sum("calls")).first()[0] == rows.count()
+
+
+def test_tables_with_stubs(spark):
+    from pagewright.inference import tables
+
+    p = picture(400, 200)
+    pages = spark.createDataFrame([("d", 0, 400, 200, p.tobytes(), None), ("d", 1, None, None, None, {"kind": "malformed", "field": "image", "detail": ""})], images.PAGES)
+    routed = {r["page"]: r for r in tables.classify(pages, lambda: Stub(lambda x: np.array([[0.5, 0.5]], np.float32))).collect()}
+    assert routed[0]["route"] == "wireless_table" and routed[0]["score"] == 0.5 and routed[1]["error"] == "malformed: image"
+    vocab = ["sos", "<tr>", "</tr>", "<td></td>", "eos"]
+    said = [1, 3, 3, 2, 1, 3, 3, 2, 4, 3]
+    scores = np.eye(5, dtype=np.float32)[said][None]
+    steps = tables.structure_steps(pages, lambda: Stub(lambda x: [np.full((1, 10, 8), 0.5, np.float32), scores]), 5).where("error IS NULL")
+    decoded = recognition.structure_decode(steps.select(F.struct("doc_id", "page").alias("page"), "t", "scores", "box"), vocab, "page").select("page.*", "tokens", "cells")
+    row = decoded.first()
+    assert "".join(row["tokens"]) == "<html><body><table><tr><td></td><td></td></tr><tr><td></td><td></td></tr></table></body></html>" and row["cells"] == [[200] * 8] * 4
+    found = np.array([[0, 0.9, 0, 0, 190, 90], [0, 0.8, 5, 5, 195, 95], [0, 0.9, 200, 2, 390, 90], [0, 0.9, 0, 100, 190, 190], [0, 0.9, 200, 100, 390, 190], [0, 0.2, 0, 0, 5, 5]], np.float32)
+    cells = tables.detect_cells(pages, lambda: Stub(lambda im_shape, image, scale_factor: found), side=64)
+    assert sorted(r["idx"] for r in cells.collect()) == [0, 2, 3, 4]
+    texts = spark.createDataFrame([("d", 0, k, x, y, x + 40.0, y + 10.0, t) for k, (x, y, t) in enumerate([(10.0, 10.0, "a"), (210.0, 10.0, "b"), (10.0, 110.0, "c"), (60.0, 110.0, "c2"), (500.0, 500.0, "out")])], "doc_id string, page int, idx long, x1 double, y1 double, x2 double, y2 double, text string")
+    html = tables.to_html(decoded.select("doc_id", "page", "tokens"), cells, texts).first()
+    assert html["html"] == "<html><body><table><tr><td>a</td><td>b</td></tr><tr><td>c c2</td><td></td></tr></table></body></html>"
