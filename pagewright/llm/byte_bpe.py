@@ -24,7 +24,7 @@ from pagewright.llm.common import free_name, slices
 
 #: Bytes of pieces that one recursive query holds, and pieces in each of the two generations that a worker remembers.
 QUERY_BYTES = 400_000
-MEMORY = 250_000
+MEMORY = 150_000
 
 #: Each step unnests a word's tokens to rows of a position and its neighbour, joins them with the merge table, and contracts the least rank's leftmost pair; ranks are token ids, and positions take 20 bits beside them.
 CONTRACT = """
@@ -42,6 +42,38 @@ WITH RECURSIVE state(word, toks, step) AS (
 )
 SELECT word, arg_max(toks, step) AS toks FROM state GROUP BY word
 """
+#: For one long piece: each step contracts all pairs that no other pair can touch first. {0} is the length of the longest
+#: token of the piece's bytes: what happens at a distance reaches a pair only through one token that grows up to it, so a
+#: pair whose rank is the least (the leftmost on ties) among {0} neighbours on either side is contracted next as far as it
+#: can tell. In a run of one token, every second pair from a run's start goes, if longer runs of it have no lower rank.
+LONG = 512
+CONTRACT_LONG = """
+WITH RECURSIVE state(word, toks) USING KEY (word) AS (
+    SELECT word, toks FROM start
+  UNION
+    SELECT word, list(CASE WHEN chosen THEN merged ELSE tok END ORDER BY pos) FILTER (WHERE NOT gone) AS toks
+    FROM (
+        SELECT *, coalesce(lag(chosen) OVER (PARTITION BY word ORDER BY pos), false) AS gone
+        FROM (
+            SELECT *, coalesce(least AND (pos - run) % 2 = 0 AND bool_or(least AND pos = run) OVER (PARTITION BY word, run), false) AS chosen
+            FROM (
+                SELECT *, key = min(key) OVER (PARTITION BY word ORDER BY pos ROWS BETWEEN {0} PRECEDING AND {0} FOLLOWING) AS least
+                FROM (
+                    SELECT *, (CAST(merged AS HUGEINT) << 40) + run AS key
+                    FROM (SELECT *, max(CASE WHEN opens THEN pos END) OVER (PARTITION BY word ORDER BY pos) AS run
+                          FROM (SELECT *, NOT coalesce(same AND lag(same) OVER (PARTITION BY word ORDER BY pos), false) AS opens
+                                FROM (SELECT p.word, p.pos, p.tok, m.merged, coalesce(p.tok = p.after AND m.calm, false) AS same
+                                      FROM (SELECT word, pos, tok, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS after
+                                            FROM (SELECT word, unnest(toks) AS tok, unnest(range(len(toks))) AS pos FROM state)) p
+                                      LEFT JOIN merges m ON m.l = p.tok AND m.r = p.after)))
+                )
+            )
+        )
+    )
+    GROUP BY word HAVING bool_or(chosen)
+)
+SELECT word, toks FROM state
+"""
 DECODE = "SELECT word, string_agg(v.bytes, '' ORDER BY pos) AS bytes FROM ids JOIN vocabulary v USING (tok) GROUP BY word"
 
 
@@ -74,10 +106,14 @@ class Bpe:
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.known = Pieces({})
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.most = max(map(len, ranks))
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         pairs = [(ranks[t[:k]], ranks[t[k:]], rank) for t, rank in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         left, right, merged = (np.array(x, np.int32) for x in (zip(*pairs) if pairs else ((), (), ())))
-        self._table("merges", l=left, r=right, merged=merged)
+        # of tokens that two of make a token: whether all longer runs of it that are tokens have higher ranks
+        calm = {t: all(rank > ranks[t + t] for k in range(3, self.most // len(t) + 1) if (rank := ranks.get(t * k)) is not None) for t in ranks if t + t in ranks}
+        twice = {ranks[t + t]: yes for t, yes in calm.items()}
+        self._table("merges", l=left, r=right, merged=merged, calm=[a == b and twice.get(m, False) for a, b, m in zip(left.tolist(), right.tolist(), merged.tolist())])
         self._table("vocabulary", tok=np.array(list(ranks.values()), np.int32), bytes=[t.hex() for t in ranks])
 
     def _table(self, name: str, **columns) -> None:
@@ -99,7 +135,7 @@ class Bpe:
 
     def _learn(self, group: list[tuple[str, bytes]]) -> None:
         # a piece that is a token as a whole is that token
-        rest = [k for k, (_, raw) in enumerate(group) if raw not in self.ranks]
+        rest = [k for k, (_, raw) in enumerate(group) if raw not in self.ranks and len(raw) <= LONG]
         word = [k for k, (_, raw) in enumerate(group) if raw in self.ranks]
         size, tok = [1] * len(word), [self.ranks[group[k][1]] for k in word]
         if rest:
@@ -112,12 +148,21 @@ class Bpe:
             size = np.concatenate([np.array(size, np.int64), np.diff(lists.offsets.to_numpy())])
             tok = np.concatenate([np.array(tok, np.int32), lists.flatten().to_numpy()])
         word, size, tok = np.asarray(word, np.int32), np.asarray(size, np.int64), np.asarray(tok, np.int32)
+        for k in (k for k, (_, raw) in enumerate(group) if raw not in self.ranks and len(raw) > LONG):
+            ids = self._long(group[k][1])
+            word, size, tok = np.append(word, np.int32(k)), np.append(size, len(ids)), np.concatenate([tok, ids])
         first = np.cumsum(size) - size
         self._table("ids", word=np.repeat(word, size), pos=(np.arange(len(tok)) - np.repeat(first, size)).astype(np.int32), tok=tok)
         raw = dict(self.db.execute(DECODE).fetchall())
         for k, at, n in zip(word.tolist(), first.tolist(), size.tolist()):
             self.known[group[k][0]][:] = tok[at : at + n].tobytes(), bytes.fromhex(raw[k])
 
+    def _long(self, raw: bytes) -> np.ndarray:
+        held = set(raw)
+        reach = max(len(t) for t in self.ranks if held.issuperset(t))
+        self._table("start", word=np.zeros(1, np.int32), toks=pa.array([self.bytes[np.frombuffer(raw, np.uint8)]], pa.list_(pa.int32())))
+        return self.db.sql(CONTRACT_LONG.format(reach)).to_arrow_table()["toks"].combine_chunks().flatten().to_numpy()
+
     def code(self, texts: list[str | None]) -> list[list[list[bytes]]]:
         """For each text the entries of its pieces in order."""
         if len(self.known) > MEMORY:
@@ -143,16 +188,19 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_column: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # nothing here makes cycles, and the collector would walk the remembered pieces again and again
-        if (bpe := _worker.get(name)) is None:
-            _worker.clear()
-            bpe = _worker[name] = Bpe(*shared.value)
-        for batch in slices(batches, "text", 4 << 20):
-            coded = bpe.code(batch.column(1).to_pylist())
-            ids = [b"".join([x[0] for x in text]) for text in coded]
-            raw = [b"".join([x[1] for x in text]) for text in coded]
-            ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(raw, pa.binary())], names=["id", "token_ids", "decoded"])
+        try:
+            if (bpe := _worker.get(name)) is None:
+                _worker.clear()
+                bpe = _worker[name] = Bpe(*shared.value)
+            for batch in slices(batches, "text", 4 << 20):
+                coded = bpe.code(batch.column(1).to_pylist())
+                ids = [b"".join([x[0] for x in text]) for text in coded]
+                raw = [b"".join([x[1] for x in text]) for text in coded]
+                ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(raw, pa.binary())], names=["id", "token_ids", "decoded"])
+        finally:
+            gc.enable()
 
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     out = rows.mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]))

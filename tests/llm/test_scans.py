@@ -123,6 +123,20 @@ def test_bpe(spark):
     assert got == key(want)
 
 
+def test_bpe_long_pieces():
+    """Pieces that the pattern doesn't split: runs, mixtures, and a length that one pair at a time would never get through."""
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    bpe = byte_bpe.Bpe(ranks, public_tokenizers.PATTERN)
+    rng = random.Random(6)
+    texts = ["x" * 3001 + "y" * 700, "日本語" * 400, " " * 2000, "=" * 801 + "-" * 777, "th" + "e" * 900, "ab" * 400, "x" * 150_000]
+    texts += ["".join(rng.choice("etaoinshrdlu") * rng.choice([1, 1, 2, 7]) for _ in range(600)) for _ in range(3)]
+    for text in texts:
+        ids = b"".join(x[0] for x in bpe.code([text])[0])
+        assert [int.from_bytes(ids[k : k + 4], "little") for k in range(0, len(ids), 4)] == coder.encode_ordinary(text)
+        assert b"".join(x[1] for x in bpe.code([text])[0]).decode() == text
+
+
 def brute_rule(host, path, rules):
     fits = [(len(h + p), len(h), v == "block", h + p, v) for h, p, v in rules if None not in (h, p, v) and (host == h or host.endswith("." + h)) and path.startswith(p)]
     return max(fits)[3:] if fits else (None, "allow")
