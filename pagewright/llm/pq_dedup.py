@@ -19,7 +19,7 @@ from pagewright.llm.common import written
 from pagewright.llm.components import components
 
 THRESHOLD = 0.93
-#: At most this many vectors (those whose ids hash lowest) train the index; every vector is indexed.
+#: At most this many different vectors (those that hash lowest) train the index; every vector is indexed.
 TRAIN_ROWS = 16_384
 PROBES = 4
 SUBSPACES = 8
@@ -35,9 +35,25 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.concatenate([(x[k : k + step] @ centres.T - half).argmax(1) for k in range(0, len(x), step)]) if len(x) else np.zeros(0, np.int64)
 
 
-def kmeans(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
-    """Lloyd's rounds from evenly spaced rows; a centre without rows stays."""
-    centres = x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)].copy()
+def apart(x: np.ndarray, k: int, threshold: float) -> np.ndarray:
+    """The first rows of length 1, at most k, of which no two have a cosine of the threshold or more."""
+    chosen = x[:0]
+    for at in range(0, len(x), 512):
+        block = x[at : at + 512]
+        free = (block @ chosen.T < threshold).all(1)
+        near = block @ block.T >= threshold
+        for row in range(len(block)):
+            if free[row]:
+                free[row + 1 :] &= ~near[row, row + 1 :]
+        chosen = np.concatenate([chosen, block[free]])[:k]
+        if len(chosen) == k:
+            break
+    return chosen
+
+
+def kmeans(x: np.ndarray, k: int, rounds: int = 10, start: np.ndarray | None = None) -> np.ndarray:
+    """Lloyd's rounds from the start, or else from evenly spaced rows; a centre without rows stays."""
+    centres = x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)].copy() if start is None else start.copy()
     for _ in range(rounds):
         own = nearest(x, centres)
         n = np.bincount(own, minlength=len(centres))
@@ -48,10 +64,16 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
 
 
 class Index:
-    """Coarse centres and the codebooks of the residuals' sub-spaces."""
+    """Coarse centres and the codebooks of the residuals' sub-spaces.
+
+    Copies count once, and no two centres start within a link of each other: a hot group, be it of equal or of near
+    vectors, must not take the lists that probes are for. Centres without rows are dropped.
+    """
 
-    def __init__(self, sample: np.ndarray, lists: int):
-        self.centres = kmeans(sample, lists)
+    def __init__(self, sample: np.ndarray, lists: int, threshold: float = THRESHOLD):
+        sample = sample[np.sort(np.unique(sample, axis=0, return_index=True)[1])]
+        centres = kmeans(sample, lists, start=apart(sample, lists, threshold))
+        self.centres = centres[np.unique(nearest(sample, centres))]
         residual = sample - self.centres[nearest(sample, self.centres)]
         self.cuts = np.linspace(0, sample.shape[1], min(SUBSPACES, sample.shape[1]) + 1).astype(int)
         self.books = [kmeans(residual[:, a:b], CODES, 6) for a, b in zip(self.cuts, self.cuts[1:])]
@@ -172,18 +194,21 @@ def links(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "e
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(label_column).cast("long").alias("label"), F.col(vector_column).cast("array<double>").alias("vector"))
     sound = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & usable(F.col("vector")))
-    common = sound.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    different = F.approx_count_distinct(F.xxhash64("vector")).alias("different")
+    common = sound.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n"), different).orderBy(F.desc("n"), "d").first()
     nothing = rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.when(F.col("id").isNotNull(), F.lit(True)).alias("kept")).withColumnRenamed("id", id_column)
     if common is None:
         return nothing
-    dimension, n = common["d"], common["count"]
+    dimension, n = common["d"], common["n"]
     sound = sound.where(F.size("vector") == dimension)
-    share = min(1.0, 1.25 * TRAIN_ROWS / n + 0.001)
-    sample = sound.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS).select("vector").toArrow()
+    # copies fall into the sample together, and count once there
+    share = min(1.0, 1.25 * TRAIN_ROWS / max(1, common["different"]) + 0.001)
+    order = F.xxhash64("vector")
+    sample = sound.where(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30))).select("vector").distinct().orderBy(order, "vector").limit(TRAIN_ROWS).toArrow()
     if not sample.num_rows:
-        sample = sound.limit(TRAIN_ROWS).select("vector").toArrow()
+        sample = sound.select("vector").limit(TRAIN_ROWS).toArrow()
     training = unit(np.array(sample["vector"].combine_chunks().flatten(), float).reshape(-1, dimension))
-    index = spark.sparkContext.broadcast(Index(training, max(1, min(MAX_LISTS, int(math.sqrt(n) / 2)))))
+    index = spark.sparkContext.broadcast(Index(training, max(1, min(MAX_LISTS, int(math.sqrt(n) / 2))), threshold))
     made = written(cells(sound.select("id", "label", "vector"), index, dimension), "pq-cells")
     size = made.groupBy("label", "list").agg(F.count(F.when(F.col("kind") == 0, 1)).alias("members"), F.count(F.when(F.col("kind") == 1, 1)).alias("queries"))
     size = size.where("members > 0 AND queries > 0").select("label", "list", F.ceil(F.col("members") / CHUNK).cast("int").alias("mc"), F.ceil(F.col("queries") / CHUNK).cast("int").alias("qc"))

@@ -152,3 +152,47 @@ def test_pq_recall(spark):
     found, real = sum(r[1] for r in got.values()), sum(w[1] for w in want)
     assert real > 1000 and found >= 0.99 * real and all(got[w[0]][1] <= w[1] for w in want)
     assert sum(got[w[0]] == tuple(w) for w in want) >= 0.99 * len(want)
+
+
+def planted(rng, n, copies, noise=0.0):
+    """n unit vectors of 64 dimensions, of which the first are copies of one vector, and the last 200 lie at cosines of 0.931 to 0.99 to it."""
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hot = x[0].copy()
+    x[1:copies] = hot + noise * x[1:copies]
+    side = x[-200:] - (x[-200:] @ hot)[:, None] * hot
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.931, 0.99, (200, 1))
+    x[-200:] = cosine * hot + np.sqrt(1 - cosine**2) * side
+    order = rng.permutation(n)
+    return x[order] / np.linalg.norm(x[order], axis=1, keepdims=True), order
+
+
+def met(index, x, order, copies):
+    """Share of the pairs of a planted neighbour and a copy of which one probes the other's list."""
+    own = pq_dedup.nearest(x, index.centres)
+    probes = index.probes(x, own)
+    near, hot = np.flatnonzero(order >= len(x) - 200), np.flatnonzero(order < copies)
+    there = (probes[near][:, :, None] == own[hot][None, None, :]).any(1)
+    back = (probes[hot][:, :, None] == own[near][None, None, :]).any(1)
+    return (there | back.T).mean()
+
+
+@pytest.mark.parametrize("noise", [0.0, 0.1])
+def test_pq_hot_group(noise):
+    """A third of the rows are equal, or near: lists stay for the others, and all have members."""
+    x, order = planted(np.random.default_rng(1), 6_000, 2_000, noise)
+    index = pq_dedup.Index(x, 38)
+    assert len(np.unique(pq_dedup.nearest(x, index.centres))) == len(index.centres) >= 30
+    assert met(index, x, order, 2_000) >= 0.97
+
+
+def test_pq_hot_links(spark):
+    x, order = planted(np.random.default_rng(2), 3_000, 1_000)
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in pq_dedup.links(frame).collect()}
+    want = {w[0]: w[1] for w in cosine_links(rows)}
+    near = [k for k in range(3_000) if order[k] >= 2_800]
+    assert sum(got[k] for k in near) >= 0.97 * sum(want[k] for k in near)
+    assert all(got[k] <= n for k, n in want.items())
