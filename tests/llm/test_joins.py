@@ -1,5 +1,6 @@
 """Operators 4 and 8, and connected components, against brute force."""
 
+import math
 import random
 import re
 
@@ -196,3 +197,19 @@ def test_pq_hot_links(spark):
     near = [k for k in range(3_000) if order[k] >= 2_800]
     assert sum(got[k] for k in near) >= 0.97 * sum(want[k] for k in near)
     assert all(got[k] <= n for k, n in want.items())
+
+
+@pytest.mark.parametrize("lists", [22, 158, 500, 4_096])
+def test_pq_probes_grow(lists):
+    """Pairs at the threshold, of isotropic vectors, are met whatever the number of lists."""
+    rng = np.random.default_rng(3)
+    unit = pq_dedup.unit
+    centres = unit(rng.normal(size=(max(2_000, 4 * lists), 64)))
+    index = pq_dedup.Index.__new__(pq_dedup.Index)
+    index.centres = pq_dedup.kmeans(centres, lists, 3)
+    a, side = unit(rng.normal(size=(1_000, 64))), rng.normal(size=(1_000, 64))
+    side = unit(side - (side * a).sum(1, keepdims=True) * a)
+    b = 0.93 * a + math.sqrt(1 - 0.93**2) * side
+    own = [pq_dedup.nearest(x, index.centres) for x in (a, b)]
+    there, back = (index.probes(x, own[k]) == own[1 - k][:, None] for k, x in enumerate((a, b)))
+    assert (there.any(1) | back.any(1)).mean() >= 0.97
