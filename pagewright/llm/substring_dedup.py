@@ -2,8 +2,10 @@
 
 A gear hash rolls over the bytes of a text's words; a word starts a chunk where the hash of the bytes before it says so,
 so that cuts depend on what stands there and an insertion shifts none but the nearest. A variable chunk goes from a cut
-to the first cut at least LEAST_WORDS words on, so that neighbours overlap and no short line makes a chunk. Chunks with
-equal digests are the same passage: its occurrence in the document with the smallest id stays, the others are repeats.
+to the first cut at least LEAST_WORDS words on, so that neighbours overlap and no short line makes a chunk. Words that
+recur have few hashes and may have no cut at all, so each window of SURE_WORDS words that holds no chunk is one itself,
+and no passage of that length is missed. Chunks with equal digests are the same passage: its occurrence in the document
+with the smallest id stays, the others are repeats.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pagewright.llm.ngram_join import MIX1, MIX2, mix, powers
 #: A word starts a chunk with this probability; a chunk has this many words at least.
 CUT = 1 / 4
 LEAST_WORDS = 16
+#: A passage of this many words holds a chunk, or is one.
+SURE_WORDS = 51
 WINDOW = 32
 SLICE = 1 << 20
 
@@ -41,10 +45,22 @@ def gear(raw: np.ndarray) -> np.ndarray:
     return h
 
 
+def bare_windows(cuts: np.ndarray, first: np.ndarray, last: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, first word) of every window of SURE_WORDS words without a chunk whose cuts rest on the window's own bytes: what stands around it doesn't matter."""
+    n = np.maximum(count - SURE_WORDS + 1, 0)
+    own = np.repeat(np.arange(len(count)), n)
+    start = np.arange(len(own)) + np.repeat(last - count - np.cumsum(n) + n, n)
+    never = np.iinfo(np.int64).max // 2
+    beyond = np.append(cuts, never)
+    cut = beyond[np.searchsorted(first[cuts], first[start] + WINDOW)]
+    bare = beyond[np.searchsorted(cuts, cut + LEAST_WORDS)] >= start + SURE_WORDS
+    return own[bare], start[bare]
+
+
 def chunks(texts: list[str | None]) -> tuple[np.ndarray, ...]:
     """(index of the text, d1, d2, first word, words, repeat) of every chunk; repeat counts earlier equal chunks of the text.
 
-    Digests have 96 bits. Case, punctuation and white space don't matter; a text of fewer than LEAST_WORDS words has no
+    A run of bare windows, each a word after the other, is one passage, which doesn't repeat itself. Digests have 96 bits. Case, punctuation and white space don't matter; a text of fewer than LEAST_WORDS words has no
     chunk. The hash starts anew in each text.
     """
     words = [words_of(t) for t in texts]
@@ -59,6 +75,7 @@ def chunks(texts: list[str | None]) -> tuple[np.ndarray, ...]:
     if not len(first):
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32, np.int32, np.int32))
     is_cut = gear(flat)[first - 1] < np.uint32(int(CUT * (1 << 32)))
+    bare_own, bare = bare_windows(np.flatnonzero(is_cut), first, last, count)
     is_cut[begin[count > 0]] = True
     cuts = np.flatnonzero(is_cut)
     own = np.searchsorted(last, cuts, side="right")
@@ -67,20 +84,24 @@ def chunks(texts: list[str | None]) -> tuple[np.ndarray, ...]:
     end = np.minimum(end, last[own])
     long_enough = end - cuts >= LEAST_WORDS
     cuts, own, end = cuts[long_enough], own[long_enough], end[long_enough]
+    cuts, own, end = np.concatenate([cuts, bare]), np.concatenate([own, bare_own]), np.concatenate([end, bare + SURE_WORDS])
+    kind = np.repeat(np.array([0, 1], np.uint64), [len(cuts) - len(bare), len(bare)])
+    # chunks stand for themselves; windows in a row share a number
+    row = np.concatenate([np.arange(len(cuts) - len(bare)), len(cuts) + np.cumsum(np.diff(bare, prepend=-1) != 1)])
     a, b = first[cuts], after[end - 1]
     digests = []
     for base, seed in ((0x2545F4914F6CDD1D, MIX1), (0x9FB21C651E98DF25, MIX2)):
         up, down = powers(len(flat) + 1, base), powers(len(flat) + 1, pow(base, -1, 1 << 64))
         table = mix(np.arange(1, 257, dtype=np.uint64) * seed)
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[flat] * up[: len(flat)], dtype=np.uint64)])
-        digests.append(mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64) * MIX2))
+        digests.append(mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64) * MIX2 + kind * MIX1))
     d1, d2 = digests[0].view(np.int64), (digests[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
     repeat = np.zeros(len(cuts), np.int32)
     order = np.lexsort((cuts, d2, d1, own))
     same = (own[order][1:] == own[order][:-1]) & (d1[order][1:] == d1[order][:-1]) & (d2[order][1:] == d2[order][:-1])
     if same.any():
         run = np.arange(len(order)) - np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(order)), 0))
-        repeat[order] = run
+        repeat[order] = np.where(row[order] != row[order[np.arange(len(order)) - run]], run, 0)
     return own, d1, d2, (cuts - begin[own]).astype(np.int32), (end - cuts).astype(np.int32), repeat
 
 

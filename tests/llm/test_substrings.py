@@ -83,3 +83,36 @@ def test_planted_passages(spark):
     one = clean[min(caught)]
     assert len(words_of(one["text"])) == len(words_of(docs[min(caught)][1])) - got[min(caught)][0] and one["n_chars"] == len(one["text"])
     assert substring_dedup.repeats(frame.limit(0)).count() == 0
+
+
+def test_passages_of_few_words(spark):
+    """Words that recur have few hashes, and often no cut; their passages are found nonetheless, and a run is no repeat of itself."""
+    rng = random.Random(8)
+    say = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    passages = [" ".join([rng.choice("abcdefgh") + str(k)] * 60) for k in range(40)]
+    docs = [(k, say(30) + " " + passages[k % 40] + " " + say(30)) for k in range(80)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = as_sets(substring_dedup.repeats(frame).collect())
+    assert all(k - 40 in got[k][2] and got[k][0] >= 40 for k in range(40, 80))
+    assert not any(got[k][1] & set(range(30)) or got[k][1] & set(range(90, 120)) for k in got)
+    bare = [k for k in range(40) if all(end == 60 for _, end in slow_chunks(passages[k]))]
+    assert len(bare) > 5
+    alone = passages[bare[0]]
+    *_, repeat = substring_dedup.chunks([alone])
+    assert not repeat.any()
+    *_, start, words, repeat = substring_dedup.chunks([f"{alone} {say(40)} {alone}"])
+    again = set().union(*(range(s, s + w) for s, w, r in zip(start, words, repeat) if r))
+    assert again == set(range(100, 160))
+
+
+def test_every_passage_holds_a_chunk():
+    """Passages of few words or many, long words or short, between other words: a chunk is the same in both."""
+    rng = random.Random(9)
+    say = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    for _ in range(300):
+        letters = rng.choice((1, 2, 5, 40))
+        vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(letters)) for _ in range(rng.choice((1, 2, 5, 8, 100)))]
+        passage = " ".join(rng.choice(vocabulary) for _ in range(substring_dedup.SURE_WORDS))
+        own, d1, d2, *_ = substring_dedup.chunks([f"{say(20)} {passage} {say(20)}", f"{say(7)} {passage}", passage])
+        sets = [set(zip(d1[own == k].tolist(), d2[own == k].tolist())) for k in range(3)]
+        assert sets[0] & sets[1] and sets[1] & sets[2]
