@@ -163,3 +163,30 @@ def order_corners(points: Column) -> Column:
 def clip_corner(value: Column, limit: Column) -> Column:
     """Truncated into 0 .. limit-1."""
     return F.least(F.greatest(value, F.lit(0.0)), limit - 1).cast("bigint")
+
+
+def sound_quad(points: Column) -> Column:
+    """Four finite corners, all different, that turn strictly one way."""
+    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    place = [tuple(F.get(points, F.lit(k))[c].cast("double") for c in "xy") for k in range(4)]
+
+    def turn(k: int) -> Column:
+        (ax, ay), (bx, by), (cx, cy) = (place[(k + j) % 4] for j in range(3))
+        return (bx - ax) * (cy - by) - (by - ay) * (cx - bx)
+
+    least, most = F.least(*map(turn, range(4))), F.greatest(*map(turn, range(4)))
+    whole = points.isNotNull() & (F.size(points) == 4) & F.forall(points, lambda p: p.isNotNull() & finite(p["x"].cast("double")) & finite(p["y"].cast("double")))
+    whole = F.coalesce(whole, F.lit(False))
+    return F.when(whole, (F.size(F.array_distinct(points)) == 4) & ((least > 2.0**-52) | (most < -(2.0**-52)))).otherwise(False)
+
+
+def kept_quad(points: Column, width: Column, height: Column) -> Column:
+    """Corners in order and clipped to the image; null if the upper or left edge truncates to 3 or less, or the corners aren't sound any more."""
+    total, rise = (lambda p: p["x"] + p["y"]), (lambda p: p["y"] - p["x"])
+    at = lambda key, ps, pick: (F.array_position(F.transform(ps, key), pick(F.transform(ps, key))) - 1).cast("int")
+    low, high = at(total, points, F.array_min), at(total, points, F.array_max)
+    rest = F.filter(points, lambda p, k: (k != low) & (k != high))
+    corners = F.array(F.get(points, low), F.get(rest, at(rise, rest, F.array_min)), F.get(points, high), F.get(rest, at(rise, rest, F.array_max)))
+    clipped = F.transform(corners, lambda p: F.struct(clip_corner(p["x"], width).alias("x"), clip_corner(p["y"], height).alias("y")))
+    edge = lambda k: F.floor(F.hypot(F.get(clipped, F.lit(0))["x"] - F.get(clipped, F.lit(k))["x"], F.get(clipped, F.lit(0))["y"] - F.get(clipped, F.lit(k))["y"]))
+    return F.when((low != high) & (edge(1) > 3) & (edge(3) > 3) & sound_quad(clipped), clipped)

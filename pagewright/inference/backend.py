@@ -23,6 +23,10 @@ class Contract:
     name: str
     axes: tuple[int | tuple[int, int], ...]
 
+    def fits(self, tensor: np.ndarray) -> bool:
+        bounds = [(a, a) if isinstance(a, int) else a for a in self.axes]
+        return tensor.ndim == len(bounds) and all(low <= size <= high for size, (low, high) in zip(tensor.shape, bounds))
+
     def check(self, tensor: np.ndarray) -> np.ndarray:
         if tensor.ndim != len(self.axes):
             raise ContractError(f"{self.name} has {tensor.ndim} axes")
@@ -61,7 +65,17 @@ class Checked:
         outputs = [o for o in self.backend.run(inputs) if o.dtype == np.float32]
         if len(outputs) < len(self.made):
             raise ContractError("an output is missing")
-        return [self.budget.admit(c.check(o)) for c, o in zip(self.made, outputs)]
+        return [self.budget.admit(c.check(o)) for c, o in zip(self.made, self.matched(outputs))]
+
+    def matched(self, outputs: list[np.ndarray]) -> list[np.ndarray]:
+        """For each contract the first output of its shape that no other has; by position if one finds none."""
+        left, out = list(outputs), []
+        for c in self.made:
+            k = next((k for k, o in enumerate(left) if c.fits(o)), None)
+            if k is None:
+                return outputs
+            out.append(left.pop(k))
+        return out
 
 
 class Stub:

@@ -19,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pagewright.functions import labels
 from pagewright.inference.backend import Backend, Budget, Checked, Contract
 from pagewright.kernels import pixels, shapes
+from pagewright.sources.images import PAGES
 
 QUAD = "array<struct<x:int,y:int>>"
 LINES = f"doc_id string, page int, pos int, quad {QUAD}, text string, score double, error string"
@@ -229,3 +230,57 @@ def detect_layout(pages: DataFrame, backend: Callable[[], Backend], side: int =
         return [(k, label, *box, score) for k, (label, score, box) in enumerate(decode_detections(rows, names, threshold))]
 
     return _pages(pages, DETECTIONS, work)
+
+
+ANGLES = (0, 90, 180, 270)
+
+
+def _new_pages(pages: DataFrame, schema: str, work: Callable[[np.ndarray], tuple[np.ndarray, tuple]]) -> DataFrame:
+    """Pages with other images, and columns besides; pages with an error pass through."""
+    out = T._parse_datatype_string(schema)
+    kinds = [to_arrow_type(f.dataType) for f in out.fields]
+    more = len(kinds) - 6
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for page in batch.to_pylist():
+                key, error = (page["doc_id"], page["page"]), page["error"]
+                if error is None:
+                    try:
+                        image, values = work(np.frombuffer(page["content"], np.uint8).reshape(page["h"], page["w"], 3))
+                        row = (*key, image.shape[1], image.shape[0], image.tobytes(), None, *values)
+                    except ValueError as e:
+                        error = {"kind": getattr(e, "kind", "model"), "field": str(e)}
+                if error is not None:
+                    row = (*key, None, None, None, error, *[None] * more)
+                yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, kinds)], names=out.names)
+
+    return pages.select("doc_id", "page", "w", "h", "content", "error").mapInArrow(run, out)
+
+
+def turn_pages(pages: DataFrame, backend: Callable[[], Backend]) -> DataFrame:
+    """PAGES turned by the angle of the class with the highest score, the first on ties and without a threshold; angle says which."""
+    made: list[Backend] = []
+
+    def work(image: np.ndarray) -> tuple[np.ndarray, tuple]:
+        if not made:
+            made.append(backend())
+        run = Checked(made[0], (Contract("x", (1, 3, 224, 224)),), (Contract("scores", (1, len(ANGLES))),))
+        angle = ANGLES[int(run(pixels.page_class_tensor(image))[0][0].argmax())]
+        return (pixels.rotate_page(image, angle) if angle else image), (angle,)
+
+    return _new_pages(pages, f"{PAGES}, angle int", work)
+
+
+def unwarp_pages(pages: DataFrame, backend: Callable[[], Backend]) -> DataFrame:
+    """PAGES as a model flattens them; nothing maps their places back to the page."""
+    made: list[Backend] = []
+
+    def work(image: np.ndarray) -> tuple[np.ndarray, tuple]:
+        if not made:
+            made.append(backend())
+        side = (1, 1 << 14)
+        run = Checked(made[0], (Contract("image", (1, 3, *image.shape[:2])),), (Contract("flat", (1, 3, side, side)),))
+        return pixels.unwarped(run(pixels.unwarp_tensor(image))[0]), ()
+
+    return _new_pages(pages, PAGES, work)

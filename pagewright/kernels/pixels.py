@@ -397,6 +397,12 @@ def scale_factors(pixels: np.ndarray, side: int) -> np.ndarray:
     return np.array([[side / pixels.shape[0], side / pixels.shape[1]]], np.float32)
 
 
+def page_class_tensor(pixels: np.ndarray, short: int = 256, crop: int = 224) -> np.ndarray:
+    """Halves are rounded up, unlike the tensor of the table class."""
+    scale = short / min(pixels.shape[:2])
+    return detector_tensor([centre_crop(linear_resize(pixels, int(pixels.shape[1] * scale + 0.5), int(pixels.shape[0] * scale + 0.5)), crop)])
+
+
 def unwarp_tensor(pixels: np.ndarray) -> np.ndarray:
     _bounded(1, *pixels.shape)
     return (pixels.astype(np.float32) * np.float32(1 / 255)).transpose(2, 0, 1)[None]

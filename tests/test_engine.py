@@ -292,3 +292,44 @@ def test_tables_with_stubs(spark):
     texts = spark.createDataFrame([("d", 0, k, x, y, x + 40.0, y + 10.0, t) for k, (x, y, t) in enumerate([(10.0, 10.0, "a"), (210.0, 10.0, "b"), (10.0, 110.0, "c"), (60.0, 110.0, "c2"), (500.0, 500.0, "out")])], "doc_id string, page int, idx long, x1 double, y1 double, x2 double, y2 double, text string")
     html = tables.to_html(decoded.select("doc_id", "page", "tokens"), cells, texts).first()
     assert html["html"] == "<html><body><table><tr><td>a</td><td>b</td></tr><tr><td>c c2</td><td></td></tr></table></body></html>"
+
+
+def test_pages_set_right(spark):
+    """A page model turns pages, another flattens them; what they return is read like any pages, and errors pass through."""
+    p = picture(300, 260)
+    rows = [("a", 0, 300, 260, p.tobytes(), None), ("b", 0, 20, 10, picture(20, 10).tobytes(), None), ("c", 0, None, None, None, {"kind": "malformed", "field": "x"})]
+    frame = spark.createDataFrame(rows, images.PAGES)
+    turn = lambda: Stub(lambda x: np.array([[0, 0.1, 0.1, 0]], np.float32) if x.shape == (1, 3, 224, 224) else None)
+    a, b, c = engine.turn_pages(frame, turn).orderBy("doc_id").collect()
+    assert (a["w"], a["h"], a["angle"], a["error"]) == (260, 300, 90, None) and a["content"] == pixels.rotate_page(p, 90).tobytes()
+    assert c["error"]["kind"] == "malformed" and c["content"] is None and (b["w"], b["h"]) == (10, 20)
+    flat = lambda: Stub(lambda image: image[:, :, ::2])
+    a, b, c = engine.unwarp_pages(frame, flat).orderBy("doc_id").collect()
+    assert (a["w"], a["h"]) == (300, 130) and a["content"] == p[::2].tobytes() and b["h"] == 5 and c["error"]["kind"] == "malformed"
+    broken = lambda: Stub(lambda image: image[:, :1])
+    assert all(r["error"] is not None and r["content"] is None for r in engine.unwarp_pages(frame, broken).collect())
+
+
+def test_outputs_by_shape():
+    boxes, scores = np.zeros((1, 5, 8), np.float32), np.ones((1, 5, 3), np.float32)
+    made = (Contract("boxes", (1, (1, 9), 8)), Contract("scores", (1, (1, 9), 3)))
+    for order in ([boxes, scores], [scores, boxes]):
+        got = Checked(Stub(lambda x, o=order: o), (Contract("x", (1,)),), made)(np.zeros(1, np.float32))
+        assert got[0] is boxes and got[1] is scores
+
+
+def test_kept_quad(spark):
+    from pagewright.functions import geometry
+
+    quads = [
+        [(30.0, 20.0), (10.0, 5.0), (30.0, 5.0), (10.0, 20.0)],
+        [(10.0, 5.0), (13.9, 5.0), (13.9, 20.0), (10.0, 20.0)],
+        [(-9.0, -5.0), (20.0, -5.0), (20.0, 8.7), (-9.0, 8.7)],
+        [(0.0, 0.0), (20.0, 0.0), (5.0, 5.0), (0.0, 20.0)],
+        [(10.0, 5.0), (10.0, 5.0), (10.0, 5.0), (10.0, 5.0)],
+    ]
+    frame = spark.createDataFrame([(k, q) for k, q in enumerate(quads)], "k int, q array<struct<x:double,y:double>>")
+    got = [r["q"] and [tuple(p) for p in r["q"]] for r in frame.select("k", geometry.kept_quad(F.col("q"), F.lit(100), F.lit(50)).alias("q")).orderBy("k").collect()]
+    assert got == [[(10, 5), (30, 5), (30, 20), (10, 20)], None, [(0, 0), (20, 0), (20, 8), (0, 8)], None, None]
+    sound = frame.select(geometry.sound_quad(F.col("q")).alias("s"), "k").orderBy("k").collect()
+    assert [r["s"] for r in sound] == [False, True, True, False, False]
