@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -189,26 +190,11 @@ def link_block(index: Index, rows: list[dict], threshold: float, dimension: int)
     yield from zip(ids.tolist(), links.tolist(), ids[peer].tolist())
 
 
-def links(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, n_links, component_id, kept): a row for each row of vectors.
-
-    Vectors link if their labels are equal and their cosine in double precision is the threshold or more. A vector that
-    is null, empty or zero, or holds null or non-finite components, or has a null label, or another length than most,
-    links with nothing; so does one with a null id, whose component and kept are null too. Rows that repeat an id don't
-    link with each other; each counts for others. Links that the index misses are missing for both sides.
-    """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(label_column).cast("long").alias("label"), F.col(vector_column).cast("array<double>").alias("vector"))
-    sound = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & usable(F.col("vector")))
-    different = F.approx_count_distinct(F.xxhash64("vector")).alias("different")
-    common = sound.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n"), different).orderBy(F.desc("n"), "d").first()
-    nothing = rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.when(F.col("id").isNotNull(), F.lit(True)).alias("kept")).withColumnRenamed("id", id_column)
-    if common is None:
-        return nothing
-    dimension, n = common["d"], common["n"]
-    sound = sound.where(F.size("vector") == dimension)
+def linked(sound: DataFrame, dimension: int, n: int, different: int, threshold: float) -> DataFrame:
+    """(id, links, peer) of (id, label, vector): n vectors of one length, about so many of them different."""
+    spark = sound.sparkSession
     # copies fall into the sample together, and count once there
-    share = min(1.0, 1.25 * TRAIN_ROWS / max(1, common["different"]) + 0.001)
+    share = min(1.0, 1.25 * TRAIN_ROWS / max(1, different) + 0.001)
     order = F.xxhash64("vector")
     sample = sound.where(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30))).select("vector").distinct().orderBy(order, "vector").limit(TRAIN_ROWS).toArrow()
     if not sample.num_rows:
@@ -242,7 +228,26 @@ def links(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "e
         if group:
             yield out(list(link_block(index.value, group, threshold, dimension)))
 
-    found = written(blocks.mapInArrow(run, "id long, links long, peer long"), "pq-links")
+    return written(blocks.mapInArrow(run, "id long, links long, peer long"), "pq-links")
+
+
+def links(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label", threshold: float = THRESHOLD) -> DataFrame:
+    """(id, n_links, component_id, kept): a row for each row of vectors.
+
+    Vectors link if their labels are equal and their cosine in double precision is the threshold or more. A vector that
+    is null, empty or zero, or holds null or non-finite components, or has a null label, links with nothing, and vectors
+    of different lengths don't link; each length has an index of its own, made one after the other. Nor does one link
+    with a null id, whose component and kept are null too. Rows that repeat an id don't
+    link with each other; each counts for others. Links that the index misses are missing for both sides.
+    """
+    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(label_column).cast("long").alias("label"), F.col(vector_column).cast("array<double>").alias("vector"))
+    sound = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & usable(F.col("vector")))
+    different = F.approx_count_distinct(F.xxhash64("vector")).alias("different")
+    lengths = sound.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n"), different).where("n > 1").orderBy("d").collect()
+    if not lengths:
+        return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.when(F.col("id").isNotNull(), F.lit(True)).alias("kept")).withColumnRenamed("id", id_column)
+    each = [linked(sound.where(F.size("vector") == r["d"]), r["d"], r["n"], r["different"], threshold) for r in lengths]
+    found = reduce(DataFrame.unionByName, each)
     near = components(found.select(F.col("id").alias("a"), F.col("peer").alias("b")))
     total = found.groupBy("id").agg(F.sum("links").alias("links"))
     out = rows.select("id").join(total, "id", "left").join(near.withColumnRenamed("node", "id"), "id", "left")

@@ -213,3 +213,17 @@ def test_pq_probes_grow(lists):
     own = [pq_dedup.nearest(x, index.centres) for x in (a, b)]
     there, back = (index.probes(x, own[k]) == own[1 - k][:, None] for k, x in enumerate((a, b)))
     assert (there.any(1) | back.any(1)).mean() >= 0.97
+
+
+def test_pq_lengths(spark):
+    """Vectors of each length link among themselves, those of a rarer length and of a single pair too."""
+    rng = np.random.default_rng(6)
+    rows = clustered(rng, 4, 20, 0.1) + [(100 + k, (v[:10] if k % 2 else v[:10] + [0.0]), k % 2) for k, (_, v, _) in enumerate(clustered(rng, 2, 16, 0.1))]
+    rows += [(300, [1.0, 2.0], 1), (301, [2.0, 4.1], 1), (302, [3.0], 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in pq_dedup.links(frame).collect()}
+    want = {w[0]: w[1] for size in {len(r[1]) for r in rows} for w in cosine_links([r for r in rows if len(r[1]) == size])}
+    assert len(got) == len(want) and all(got[k] <= n for k, n in want.items())
+    for low, high in ((0, 99), (100, 199), (300, 399)):
+        own = [k for k in want if low <= k <= high]
+        assert sum(want[k] for k in own) > 0 and sum(got[k] for k in own) >= 0.95 * sum(want[k] for k in own)
