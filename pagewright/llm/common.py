@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,5 +76,36 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 16 <
             yield batch.slice(at, each)
 
 
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each run of equal keys (which hold no nulls), from rows sorted by them."""
+    held, last = [], None
+    for batch in batches:
+        if not (n := batch.num_rows):
+            continue
+        columns = [batch.column(batch.schema.get_field_index(k)) for k in keys]
+        new = np.zeros(n, bool)
+        new[0] = bool(held) and last != tuple(c[0].as_py() for c in columns)
+        for c in columns:
+            new[1:] |= pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(new[1:]) + 1).tolist(), n]
+        for a, b in zip(edges, edges[1:]):
+            if held and new[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+        last = tuple(c[n - 1].as_py() for c in columns)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def forget(df: DataFrame) -> None:
+    """Removes the table behind a frame of written() that nothing reads any more."""
+    for path in df.inputFiles()[:1]:
+        spark = df.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+        if any(str(folder.getName()) == str(p.getName()) for _, p in _left):
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def sha256_hex(column) -> Column:
     return F.lower(F.sha2(column, 256))

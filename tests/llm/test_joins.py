@@ -143,16 +143,27 @@ def test_pq(spark, monkeypatch, chunk):
     assert got[1005][1] == 1 and got[1006][2] == 1005
     odd = spark.createDataFrame([(None, [1.0], 1), (1, [1.0], 1), (1, [1.0], 1)], "vec_id long, embedding array<double>, label int")
     assert key(pq_dedup.links(odd).collect()) == key([(None, 0, None, None), (1, 0, 1, True), (1, 0, 1, True)])
+    odd = spark.createDataFrame([(3, [1.0, 0.0], "x"), (3, [0.0, 1.0], "x"), (2, [0.0, 1.0], "x"), (2, [0.0, 1.0], "x"), (1, [0.0, 1.1], "y"), (4, [1.0, 0.1], "x"), (4, None, "x"), (None, [0.0, 1.0], "x")], "vec_id long, embedding array<float>, label string")
+    assert key(pq_dedup.links(odd).collect()) == key([(3, 1, 3, True), (3, 1, 2, False), (2, 1, 2, True), (2, 1, 2, True), (1, 0, 1, True), (4, 1, 3, False), (4, 0, 4, True), (None, 0, None, None)])
     assert pq_dedup.links(frame.limit(0)).count() == 0
 
 
 def test_pq_recall(spark):
-    rows = duckdb.sql("SELECT vec_id, embedding, label FROM '/root/testdata/check_s/embeddings.parquet/*.parquet'").fetchall()
-    got = {r["vec_id"]: tuple(r) for r in queries.op8_pq_dedup(spark, "/root/testdata/check_s").collect()}
-    want = cosine_links(rows)
-    found, real = sum(r[1] for r in got.values()), sum(w[1] for w in want)
-    assert real > 1000 and found >= 0.99 * real and all(got[w[0]][1] <= w[1] for w in want)
-    assert sum(got[w[0]] == tuple(w) for w in want) >= 0.99 * len(want)
+    """The whole table of the largest scale, and the same with a planted neighbour of each vector at cosines from the threshold on."""
+    path = "/root/testdata/sf0.1"
+    rows = duckdb.sql(f"SELECT vec_id, embedding, label FROM '{path}/embeddings.parquet'").fetchall()
+    rng = np.random.default_rng(11)
+    x = pq_dedup.unit(np.array([r[1] for r in rows], float))
+    side = rng.normal(size=x.shape)
+    side = pq_dedup.unit(side - (side * x).sum(1, keepdims=True) * x)
+    cosine = rng.uniform(0.931, 0.96, (len(x), 1))
+    more = [*((r[0], v.tolist(), r[2]) for r, v in zip(rows, x)), *((100_000 + k, v.tolist(), r[2]) for k, (r, v) in enumerate(zip(rows, cosine * x + np.sqrt(1 - cosine**2) * side)))]
+    for made, links in ((rows, queries.op8_pq_dedup(spark, path)), (more, pq_dedup.links(spark.createDataFrame(more, "vec_id long, embedding array<double>, label int")))):
+        got = {r["vec_id"]: tuple(r) for r in links.collect()}
+        want = cosine_links(made)
+        found, real = sum(r[1] for r in got.values()), sum(w[1] for w in want)
+        assert len(got) == len(made) and (made is rows or real > 3_000) and 0.98 * real <= found <= real and all(got[w[0]][1] <= w[1] for w in want)
+        assert sum(got[w[0]] == tuple(w) for w in want) >= 0.98 * len(want)
 
 
 def planted(rng, n, copies, noise=0.0):
@@ -207,6 +218,7 @@ def test_pq_probes_grow(lists):
     centres = unit(rng.normal(size=(max(2_000, 4 * lists), 64)))
     index = pq_dedup.Index.__new__(pq_dedup.Index)
     index.centres = pq_dedup.kmeans(centres, lists, 3)
+    index.width = index.tuned(unit(rng.normal(size=(1_000, 64))), 0.93)
     a, side = unit(rng.normal(size=(1_000, 64))), rng.normal(size=(1_000, 64))
     side = unit(side - (side * a).sum(1, keepdims=True) * a)
     b = 0.93 * a + math.sqrt(1 - 0.93**2) * side
