@@ -11,6 +11,7 @@ import base64
 import gc
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -22,9 +23,10 @@ from pyspark.sql import types as T
 
 from pagewright.llm.common import free_name, slices
 
-#: Bytes of pieces that one recursive query holds, and pieces in each of the two generations that a worker remembers.
+#: Bytes of pieces that one recursive query holds; pieces, and bytes of them, in each of the two generations that a worker remembers; longer pieces than LONG are not remembered.
 QUERY_BYTES = 400_000
-MEMORY = 150_000
+MEMORY = 250_000
+MEMORY_BYTES = 8 << 20
 
 #: Each step unnests a word's tokens to rows of a position and its neighbour, joins them with the merge table, and contracts the least rank's leftmost pair; ranks are token ids, and positions take 20 bits beside them.
 CONTRACT = """
@@ -42,31 +44,43 @@ WITH RECURSIVE state(word, toks, step) AS (
 )
 SELECT word, arg_max(toks, step) AS toks FROM state GROUP BY word
 """
-#: For one long piece: each step contracts all pairs that no other pair can touch first. {0} is the length of the longest
-#: token of the piece's bytes: what happens at a distance reaches a pair only through one token that grows up to it, so a
-#: pair whose rank is the least (the leftmost on ties) among {0} neighbours on either side is contracted next as far as it
-#: can tell. In a run of one token, every second pair from a run's start goes, if longer runs of it have no lower rank.
+#: The same rule for long pieces, at many places in each step. {0} is the length of the longest token of the piece's
+#: bytes. A token that grows from further away can't reach a pair, so a pair whose rank is the least among {0} neighbours on
+#: either side (least) is contracted before them, if pairs of its own rank to its left leave it alone. So pairs of one rank
+#: make groups with gaps of {0} at most, which go from left to right: every second one of a run of neighbours, up to the
+#: first that is not least, or whose contraction makes a pair of a lower rank (lower). The others wait for the next step.
 LONG = 512
 CONTRACT_LONG = """
 WITH RECURSIVE state(word, toks) USING KEY (word) AS (
     SELECT word, toks FROM start
   UNION
-    SELECT word, list(CASE WHEN chosen THEN merged ELSE tok END ORDER BY pos) FILTER (WHERE NOT gone) AS toks
+    SELECT word, list(CASE WHEN chosen THEN rank ELSE tok END ORDER BY pos) FILTER (WHERE NOT gone) AS toks
     FROM (
         SELECT *, coalesce(lag(chosen) OVER (PARTITION BY word ORDER BY pos), false) AS gone
         FROM (
-            SELECT *, coalesce(least AND (pos - run) % 2 = 0 AND bool_or(least AND pos = run) OVER (PARTITION BY word, run), false) AS chosen
+            SELECT *, may AND NOT coalesce(bool_or(lower) OVER (PARTITION BY word, rank, cluster ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS chosen
             FROM (
-                SELECT *, key = min(key) OVER (PARTITION BY word ORDER BY pos ROWS BETWEEN {0} PRECEDING AND {0} FOLLOWING) AS least
+                SELECT t.*, coalesce(may AND (x.merged < t.rank OR y.merged < t.rank), false) AS lower
                 FROM (
-                    SELECT *, (CAST(merged AS HUGEINT) << 40) + run AS key
-                    FROM (SELECT *, max(CASE WHEN opens THEN pos END) OVER (PARTITION BY word ORDER BY pos) AS run
-                          FROM (SELECT *, NOT coalesce(same AND lag(same) OVER (PARTITION BY word ORDER BY pos), false) AS opens
-                                FROM (SELECT p.word, p.pos, p.tok, m.merged, coalesce(p.tok = p.after AND m.calm, false) AS same
-                                      FROM (SELECT word, pos, tok, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS after
-                                            FROM (SELECT word, unnest(toks) AS tok, unnest(range(len(toks))) AS pos FROM state)) p
-                                      LEFT JOIN merges m ON m.l = p.tok AND m.r = p.after)))
-                )
+                    SELECT *, CASE WHEN may THEN CASE WHEN lag(may, 2) OVER (PARTITION BY word ORDER BY pos) AND lag(rank, 2) OVER (PARTITION BY word ORDER BY pos) = rank THEN rank
+                                                      ELSE lag(tok) OVER (PARTITION BY word ORDER BY pos) END END AS before,
+                              CASE WHEN may THEN lead(tok, 2) OVER (PARTITION BY word ORDER BY pos) END AS beyond
+                    FROM (
+                        SELECT *, bool_and(least) OVER (PARTITION BY word, rank, cluster ORDER BY pos) AND (pos - run) % 2 = 0 AS may
+                        FROM (
+                            SELECT *, max(CASE WHEN gap > 1 THEN pos END) OVER (PARTITION BY word, rank ORDER BY pos) AS run,
+                                   max(CASE WHEN gap > {0} THEN pos END) OVER (PARTITION BY word, rank ORDER BY pos) AS cluster
+                            FROM (SELECT p.word, p.pos, p.tok, m.merged AS rank,
+                                         coalesce(rank = min(rank) OVER (PARTITION BY p.word ORDER BY p.pos ROWS BETWEEN {0} PRECEDING AND {0} FOLLOWING), false) AS least,
+                                         coalesce(p.pos - lag(p.pos) OVER (PARTITION BY p.word, rank ORDER BY p.pos), 1073741824) AS gap
+                                  FROM (SELECT word, pos, tok, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS after
+                                        FROM (SELECT word, unnest(toks) AS tok, unnest(range(len(toks))) AS pos FROM state)) p
+                                  LEFT JOIN merges m ON m.l = p.tok AND m.r = p.after)
+                        )
+                    )
+                ) t
+                LEFT JOIN merges x ON x.l = t.before AND x.r = t.rank
+                LEFT JOIN merges y ON y.l = t.rank AND y.r = t.beyond
             )
         )
     )
@@ -83,37 +97,21 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-class Pieces(dict):
-    """Entries [ids as 32-bit integers, decoded bytes] by piece. A piece met for the first time gets an empty entry, which is filled when the batch's open pieces are learned; one of the older generation moves here."""
-
-    def __init__(self, older: dict[str, list]):
-        super().__init__()
-        self.older, self.open = older, []
-
-    def __missing__(self, piece: str) -> list:
-        entry = self.older.get(piece)
-        if entry is None:
-            entry = [b"", b""]
-            self.open.append(piece)
-        self[piece] = entry
-        return entry
-
-
 class Bpe:
     """One worker's DuckDB connection with the merge table, and the pieces it has seen lately."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = ranks, regex.compile(pattern).findall
-        self.known = Pieces({})
+        # ids (as 32-bit integers) by piece, of this generation and of the one before; what decodes to other bytes than its own stands apart
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held, self.apart = 0, {}
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.most = max(map(len, ranks))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         pairs = [(ranks[t[:k]], ranks[t[k:]], rank) for t, rank in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         left, right, merged = (np.array(x, np.int32) for x in (zip(*pairs) if pairs else ((), (), ())))
-        # of tokens that two of make a token: whether all longer runs of it that are tokens have higher ranks
-        calm = {t: all(rank > ranks[t + t] for k in range(3, self.most // len(t) + 1) if (rank := ranks.get(t * k)) is not None) for t in ranks if t + t in ranks}
-        twice = {ranks[t + t]: yes for t, yes in calm.items()}
-        self._table("merges", l=left, r=right, merged=merged, calm=[a == b and twice.get(m, False) for a, b, m in zip(left.tolist(), right.tolist(), merged.tolist())])
+        self._table("merges", l=left, r=right, merged=merged)
         self._table("vocabulary", tok=np.array(list(ranks.values()), np.int32), bytes=[t.hex() for t in ranks])
 
     def _table(self, name: str, **columns) -> None:
@@ -122,7 +120,7 @@ class Bpe:
         self.db.unregister("rows_")
 
     def learn(self, pieces: list[str]) -> None:
-        """Fills the entries of open pieces."""
+        """Codes pieces that are not known."""
         size, group = 0, []
         for piece in pieces:
             group.append((piece, raw := piece.encode("utf-8", "replace")))
@@ -155,22 +153,45 @@ class Bpe:
         self._table("ids", word=np.repeat(word, size), pos=(np.arange(len(tok)) - np.repeat(first, size)).astype(np.int32), tok=tok)
         raw = dict(self.db.execute(DECODE).fetchall())
         for k, at, n in zip(word.tolist(), first.tolist(), size.tolist()):
-            self.known[group[k][0]][:] = tok[at : at + n].tobytes(), bytes.fromhex(raw[k])
+            piece, own = group[k]
+            self.known[piece] = tok[at : at + n].tobytes()
+            self.held += len(own)
+            if raw[k] != own.hex():
+                self.apart[piece] = bytes.fromhex(raw[k])
 
     def _long(self, raw: bytes) -> np.ndarray:
+        self.db.execute(f"SET memory_limit = '{max(400, len(raw) // 2_500)}MB'")  # beyond a million bytes, what the piece takes
         held = set(raw)
         reach = max(len(t) for t in self.ranks if held.issuperset(t))
         self._table("start", word=np.zeros(1, np.int32), toks=pa.array([self.bytes[np.frombuffer(raw, np.uint8)]], pa.list_(pa.int32())))
         return self.db.sql(CONTRACT_LONG.format(reach)).to_arrow_table()["toks"].combine_chunks().flatten().to_numpy()
 
-    def code(self, texts: list[str | None]) -> list[list[list[bytes]]]:
-        """For each text the entries of its pieces in order."""
-        if len(self.known) > MEMORY:
-            self.known = Pieces(dict(self.known))
-        found = [list(map(self.known.__getitem__, self.split(t))) if t else [] for t in texts]
-        pieces, self.known.open = self.known.open, []
-        self.learn(sorted(pieces, key=len))
-        return found
+    def code(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """(ids, decoded bytes) of each text; ids are 32-bit integers."""
+        if len(self.known) > MEMORY or self.held > MEMORY_BYTES:
+            self.known, self.older, self.held = {}, self.known, 0
+        split = [self.split(t) if t else [] for t in texts]
+        fresh = []
+        for piece in set(chain.from_iterable(split)).difference(self.known):
+            if (ids := self.older.get(piece)) is not None:
+                self.known[piece] = ids
+                self.held += len(piece)
+            else:
+                fresh.append(piece)
+        self.learn(sorted(fresh, key=len))
+        ids = self.known.__getitem__
+        out = [(b"".join(map(ids, pieces)), self.decoded(pieces)) for pieces in split]
+        for piece in fresh:
+            if len(piece) > LONG:
+                del self.known[piece]
+                self.apart.pop(piece, None)
+        return out
+
+    def decoded(self, pieces: list[str]) -> bytes:
+        """What the ids of the pieces decode to, as it was found when they were learned."""
+        if self.apart and not self.apart.keys().isdisjoint(pieces):
+            return b"".join([self.apart.get(p) or p.encode("utf-8", "replace") for p in pieces])
+        return "".join(pieces).encode("utf-8", "replace")
 
 
 _worker: dict[str, Bpe] = {}
@@ -192,10 +213,8 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_column: str =
             if (bpe := _worker.get(name)) is None:
                 _worker.clear()
                 bpe = _worker[name] = Bpe(*shared.value)
-            for batch in slices(batches, "text", 4 << 20):
-                coded = bpe.code(batch.column(1).to_pylist())
-                ids = [b"".join([x[0] for x in text]) for text in coded]
-                raw = [b"".join([x[1] for x in text]) for text in coded]
+            for batch in slices(batches, "text", 2 << 20):
+                ids, raw = map(list, zip(*bpe.code(batch.column(1).to_pylist())))
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(raw, pa.binary())], names=["id", "token_ids", "decoded"])
