@@ -16,10 +16,13 @@ SIZES = (3, 4, 5, 6)
 BITS = 22
 #: At most this many labelled rows of each class train the model: those whose ids hash lowest.
 TRAIN_ROWS = 8_000
-#: N-grams that the model keeps, those that tell the classes apart best.
+#: N-grams that the model keeps, those that tell the classes apart best; 65,536 at most. They must occur in so many texts of a class.
 FEATURES = 8_192
+LEAST_TOXIC, LEAST_CLEAN = 3, 30
 THRESHOLD = 0.3
 SLICE = 1 << 20
+#: Features of rows that are summed at once on the driver.
+BLOCK = 1 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -92,7 +95,7 @@ def document_counts(train: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[0][part]), pa.array(total[1][part])], names=["bucket", "clean", "toxic"])
 
     rows = train.select("toxic", "text").mapInArrow(count, "bucket int, clean int, toxic int")
-    return rows.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("toxic >= 3 OR clean >= 30")
+    return rows.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where((F.col("toxic") >= LEAST_TOXIC) | (F.col("clean") >= LEAST_CLEAN))
 
 
 def _runs(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,15 +120,48 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_linear(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, width: int, steps: int = 250, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Logistic regression on the sparse matrix by accelerated gradient steps of fixed number, so that runs agree."""
-    w, b = np.zeros(width), 0.0
+class Presence:
+    """Which features each row has, as two bytes a feature; unpacked from bit rows and walked in blocks of bounded size."""
+
+    def __init__(self, bits: list[bytes], width: int):
+        self.width, parts, sizes = width, [], []
+        for at in range(0, len(bits), 1_024):
+            block = np.unpackbits(np.frombuffer(b"".join(bits[at : at + 1_024]), np.uint8).reshape(-1, len(bits[0])), axis=1)[:, :width]
+            parts.append(np.nonzero(block)[1].astype(np.uint16))
+            sizes.append(block.sum(1, dtype=np.int64))
+        self.cols, self.sizes = np.concatenate(parts), np.concatenate(sizes)
+        self.ends = np.cumsum(self.sizes)
+        cuts = np.searchsorted(self.ends, np.arange(0, self.ends[-1] + BLOCK, BLOCK)[1:], side="right")
+        self.blocks = sorted({0, *cuts.tolist(), len(bits)})
+
+    def __iter__(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """(rows, their sizes, their features) by blocks."""
+        for a, b in zip(self.blocks, self.blocks[1:]):
+            first = self.ends[a] - self.sizes[a]
+            yield slice(a, b), self.sizes[a:b], self.cols[first : self.ends[b - 1]]
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        """The sum of v over the features of each row."""
+        out = np.zeros(len(self.sizes))
+        for rows, sizes, cols in self:
+            some = np.flatnonzero(sizes)
+            if len(some):
+                out[rows.start + some] = np.add.reduceat(v[cols], (np.cumsum(sizes) - sizes)[some])
+        return out
+
+    def turned(self, g: np.ndarray) -> np.ndarray:
+        """The sum of g over the rows of each feature."""
+        return sum((np.bincount(cols, np.repeat(g[rows], sizes), minlength=self.width) for rows, sizes, cols in self), np.zeros(self.width))
+
+
+def fit_linear(x: Presence, ratio: np.ndarray, y: np.ndarray, steps: int = 250, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Logistic regression on presence times ratio by accelerated gradient steps of fixed number, so that runs agree."""
+    w, b = np.zeros(x.width), 0.0
     v, c = w, b
-    norm = np.bincount(rows, values**2, minlength=len(y)).max(initial=0) + 1
-    step = 4 / min(norm, 400.0)
+    step = 4 / min(x.times(ratio**2).max(initial=0) + 1, 400.0)
     best = (np.inf, w, b)
     for k in range(steps):
-        z = c + np.bincount(rows, values * v[cols], minlength=len(y))
+        z = c + x.times(ratio * v)
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         loss = -np.mean(np.where(y > 0, np.log(p + 1e-12), np.log(1 - p + 1e-12))) + ridge / 2 * (v @ v)
         if loss < best[0]:
@@ -136,7 +172,7 @@ def fit_linear(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.nda
             v, c = w, b
             continue
         g = (p - y) / len(y)
-        w2, b2 = v - step * (np.bincount(cols, values * g[rows], minlength=width) + ridge * v), c - step * g.sum()
+        w2, b2 = v - step * (ratio * x.turned(g) + ridge * v), c - step * g.sum()
         m = k / (k + 3)
         v, c = w2 + m * (w2 - w), b2 + m * (b2 - b)
         w, b = w2, b2
@@ -164,17 +200,18 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = shared.value.lookup()
         for batch in slices(batches, "text", SLICE):
-            owner, feature = present(batch.column(2).to_pylist(), lookup)
-            cuts = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(cuts), pa.array(feature.astype(np.int32)))], names=["id", "toxic", "features"])
-
-    got = sample.select("id", "toxic", "text").mapInArrow(features, T.StructType([sample.schema["id"], T.StructField("toxic", T.IntegerType()), T.StructField("features", T.ArrayType(T.IntegerType()))])).toArrow()
-    order = np.argsort(np.array([f"{x}" for x in got["id"].to_pylist()]), kind="stable")
-    lists = got["features"].combine_chunks().take(pa.array(order))
-    sizes = np.diff(lists.offsets.to_numpy())
-    cols = lists.flatten().to_numpy().astype(np.int64)
-    y = got["toxic"].to_numpy()[order].astype(float)
-    weight, bias = fit_linear(np.repeat(np.arange(len(y)), sizes), cols, ratio[cols], y, len(chosen))
+            for at in range(0, batch.num_rows, 1_024):
+                part = batch.slice(at, 1_024)
+                owner, feature = present(part.column(2).to_pylist(), lookup)
+                has = np.zeros((part.num_rows, FEATURES), bool)
+                has[owner, feature] = True
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([row.tobytes() for row in np.packbits(has, axis=1)], pa.binary())], names=["id", "toxic", "bits"])
+
+    # a bit for each feature of each sampled row: 2 * rows * FEATURES / 8 bytes at most, however long the texts are
+    kind = T.StructType([sample.schema["id"], T.StructField("toxic", T.IntegerType()), T.StructField("bits", T.BinaryType())])
+    got = sample.select("id", "toxic", "text").mapInArrow(features, kind).toArrow()
+    rows_ = sorted(zip(map(str, got["id"].to_pylist()), got["toxic"].to_pylist(), got["bits"].to_pylist()))
+    weight, bias = fit_linear(Presence([r[2] for r in rows_], len(chosen)), ratio, np.array([r[1] for r in rows_], float))
     # the classes were taken in equal numbers at most: the bias goes back to the shares among all labels that may be learned from
     all_rows = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).agg(F.sum((F.col("toxic") > 0).cast("long")).alias("one"), F.count("*").alias("n")).first()
     bias += np.log(all_rows["one"] / (all_rows["n"] - all_rows["one"])) - np.log(size[1] / size[0])
@@ -196,7 +233,7 @@ def score(docs: DataFrame, model: Model, text_column: str = "text", threshold: f
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())]))
 
 
-def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those predicted toxic."""
-    scored = score(docs, train(docs, labels))
+def reject(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """docs without those predicted toxic. Null and empty texts score by the bias; repeated rows stay or go together; an empty table stays empty. Other columns pass through, whatever their names."""
+    scored = score(docs, train(docs, labels, id_column, text_column), text_column)
     return scored.where(F.col(scored.columns[-1]) == 0).select(*docs.columns)

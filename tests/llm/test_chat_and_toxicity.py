@@ -65,3 +65,64 @@ def test_presence(texts):
     lookup = np.zeros(1 << toxicity.BITS, np.int32)
     owner, feature = toxicity.present(texts, lookup)
     assert sorted(set(owner.tolist())) == owner.tolist()
+
+
+def bucket_of(gram):
+    h = 0
+    for c in gram:
+        h = (h * 0x9E3779B97F4A7C15 + ord(c)) % 2**64
+    return ((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 % 2**64) >> (64 - toxicity.BITS)
+
+
+def grams(text):
+    own = f" {text.lower()} " if text else ""
+    return {bucket_of(own[k : k + n]) for n in toxicity.SIZES for k in range(len(own) - n + 1)}
+
+
+def test_toxicity_by_brute_force(spark):
+    """Document counts, log-count ratios, the fit's gradient and scores, against sets of n-grams of whole texts."""
+    rng = np.random.default_rng(5)
+    say = lambda bad: " ".join(rng.choice(["mild", "Table", "é river", "stone", "vile", "brute"] if bad else ["mild", "Table", "é river", "stone", "soft"], 12))
+    texts = {k: say(k % 3 == 0) for k in range(150)} | {150: "", 151: None, 152: "mild " * 3_000}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in texts], "doc_id long, toxic int")
+    learned = {k for k in texts if zlib.crc32(str(k).encode()) % 4 != 2}
+    sets = {k: grams(t) for k, t in texts.items()}
+    counts = {}
+    for k in learned:
+        for b in sets[k]:
+            counts.setdefault(b, [0, 0])[k % 3 == 0] += 1
+    kept = {b: (c, t) for b, (c, t) in counts.items() if t >= toxicity.LEAST_TOXIC or c >= toxicity.LEAST_CLEAN}
+    sample = toxicity.training_rows(docs, labels, "doc_id", "text", toxicity.TRAIN_ROWS)
+    assert {r["id"] for r in sample.collect()} == learned
+    assert {r["bucket"]: (r["clean"], r["toxic"]) for r in toxicity.document_counts(sample).collect()} == kept
+    model = toxicity.train(docs, labels)
+    assert set(model.chosen.tolist()) == set(kept)  # fewer than FEATURES: all stay
+    p, q = (np.array([kept[b][one] for b in model.chosen.tolist()], float) + 1 for one in (1, 0))
+    ratio = np.log((p / p.sum()) / (q / q.sum()))
+    rows = sorted(learned, key=str)
+    x = np.array([[b in sets[k] for b in model.chosen.tolist()] for k in rows], float) * ratio
+    y = np.array([k % 3 == 0 for k in rows], float)
+    w = model.weight / ratio  # the weights before the ratios scale them
+    own = model.bias  # every label was learned from, so the shares are those of the sample
+    z = own + x @ w
+    slope = x.T @ (1 / (1 + np.exp(-z)) - y) / len(y) + 1e-3 * w
+    start = x.T @ (0.5 - y) / len(y)
+    assert np.abs(slope).max() < 0.05 * np.abs(start).max()  # close to the least loss
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    weight = dict(zip(model.chosen.tolist(), model.weight.tolist()))
+    for k in texts:
+        want = 1 / (1 + np.exp(-(model.bias + sum(weight.get(b, 0.0) for b in sets[k]))))
+        assert abs(got[k]["score"] - want) < 1e-9 and got[k]["predicted"] == int(got[k]["score"] >= 0.3)
+
+
+def test_presence_in_blocks(monkeypatch):
+    rng = np.random.default_rng(2)
+    has = rng.random((300, 37)) < rng.random((300, 1)) * 0.6
+    has[40:60] = False
+    bits = [row.tobytes() for row in np.packbits(has, axis=1)]
+    for block in (1, 50, 1 << 20):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        x = toxicity.Presence(bits, 37)
+        v, g = rng.random(37), rng.random(300)
+        assert np.allclose(x.times(v), has @ v) and np.allclose(x.turned(g), has.T @ g)
