@@ -2,8 +2,9 @@
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers. Those are the seeds: the words around them
 are lexical patterns. Patterns and identifier-like tokens make a graph; in each round a pattern's confidence is the
-share of its instances that are known for a kind, and an instance's score is what its confident patterns say together.
-Tokens that score high enough without matching a base pattern are identifiers that the patterns discovered.
+share of its instances that are known for a kind (of those not known yet only a part counts against it), and an instance's
+score is what its confident patterns say together. Tokens that score high enough without matching a base pattern are
+identifiers that the patterns discovered.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: A token with a digit or an at sign, as it stands between white space.
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 MARK, OTHER = "\x01", "\x02"
-#: Rounds of scoring; a pattern needs this many seeds of a kind and this share of its instances; a token needs this score.
-ROUNDS, SEEDS, CONFIDENCE, SCORE = 3, 5, 0.8, 0.9
-#: Longest token that a pattern may discover.
-LONGEST = 64
+#: Rounds of scoring; a pattern needs this many seeds of a kind and this share of its instances, of which one that is not known yet counts as this part of one; a token needs this score.
+ROUNDS, SEEDS, CONFIDENCE, UNKNOWN, SCORE = 3, 5, 0.8, 0.25, 0.9
+#: What a pattern of a single word says counts for this part, so that it takes two of them to discover a token.
+WEAK = 0.8
+#: So many characters next to a token are split into words first, and all up to the next token if they hold too few.
+NEARBY = 80
 
 
 def runs(text: Column, pattern: str) -> Column:
@@ -100,23 +103,28 @@ def with_base(rows: DataFrame) -> DataFrame:
 def instances(rows: DataFrame) -> DataFrame:
     """(key, start, end, value, kind, patterns): identifier-like tokens and numbers with the lexical patterns around them.
 
-    value is the token without punctuation at its ends; kind is set if it is a seed. Patterns: the two words before, the
-    two after, and one on either side, in lower case.
+    value is the token without punctuation at its ends; kind is set if it is a seed. Patterns, in lower case: the two words
+    before, the two after, the one before, the one after, and one on either side, of what stands between this token and the
+    next one. Equal instances of equal texts count once.
     """
     every = f"{PHONE}|{CARD}(?!\\S)|{TOKEN}"
     found = rows.select("key", runs(F.col("text"), every).alias("parts")).select("key", F.explode(placed("parts")).alias("m")).select("key", "m.*")
-    core = F.regexp_extract("value", r"^[^\p{L}\p{N}+]*+(.*?)[^\p{L}\p{N}]*$", 1)
-    found = found.withColumn("core", core).where("core <> '' AND length(core) <= 256")
+    # a run of punctuation is tried from its start alone
+    core = F.regexp_replace(F.regexp_replace("value", r"^[^\p{L}\p{N}+]++", ""), r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$", "")
+    found = found.withColumn("core", core).where("core <> ''")
     lead = F.length(F.regexp_extract("value", r"^[^\p{L}\p{N}+]*+", 0))
     found = found.withColumn("start", F.col("start") + lead).withColumn("end", F.col("start") + F.length("core"))
     full = {k: f"^(?:{p})$".replace(r"(?:\G|(?<![A-Za-z0-9._%+-]))", "") for k, (p, _) in BASE.items()}
     kind = reduce(lambda c, k: c.when(F.col("core").rlike(full[k]) & valid(k, F.col("core")), k), ("email", "ip", "phone", "card"), F.when(F.lit(False), ""))
     words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}]+"), lambda w: w != "")
-    # the words nearest by: only the last or first ones of what stands between two matches are looked at
-    near = found.select("key", "start", "end", "core", kind.alias("kind"), words(F.expr("right(before, 80)")).alias("l"), words(F.expr("left(after, 80)")).alias("r"))
+    near = found.select("key", "start", "end", "core", kind.alias("kind"), "before", "after", words(F.expr(f"right(before, {NEARBY})")).alias("l"), words(F.expr(f"left(after, {NEARBY})")).alias("r"))
+    # of three words near by, the two next to the token are whole
+    whole = lambda some, side: F.when((F.size(some) > 2) | (F.length(side) <= NEARBY), F.col(some)).otherwise(words(F.col(side))).alias(some)
+    near = near.select("key", "start", "end", "core", "kind", whole("l", "before"), whole("r", "after"))
     l1, l2, r1, r2 = _context()
-    patterns = F.array(F.concat(F.lit("<"), l2, F.lit(" "), l1), F.concat(F.lit(">"), r1, F.lit(" "), r2), F.concat(F.lit("="), l1, F.lit(" "), r1))
-    return near.select("key", "start", "end", F.col("core").alias("value"), "kind", F.filter(patterns, lambda p: p.isNotNull()).alias("patterns"))
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    patterns = F.array(say("<", l2, " ", l1), say(">", r1, " ", r2), say("<", l1), say(">", r1), say("=", l1, " ", r1))
+    return near.select("key", "start", "end", F.col("core").alias("value"), "kind", F.filter(patterns, lambda p: p.isNotNull()).alias("patterns")).distinct()
 
 
 def _context() -> tuple[Column, ...]:
@@ -124,7 +132,7 @@ def _context() -> tuple[Column, ...]:
     return at("l", -1), at("l", -2), at("r", 1), at("r", 2)
 
 
-def bootstrap(seen: DataFrame, rounds: int = ROUNDS, seeds: int = SEEDS, confidence: float = CONFIDENCE, score: float = SCORE) -> DataFrame:
+def bootstrap(seen: DataFrame, rounds: int = ROUNDS, seeds: int = SEEDS, confidence: float = CONFIDENCE, unknown: float = UNKNOWN, weak: float = WEAK, score: float = SCORE) -> DataFrame:
     """(value, kind): tokens that are no seeds, with the kind that confident patterns give them.
 
     Each round joins the graph's edges with the known instances, sums by pattern and kind, and joins the confident
@@ -138,13 +146,16 @@ def bootstrap(seen: DataFrame, rounds: int = ROUNDS, seeds: int = SEEDS, confide
     known = written(sure, "pii-seeds")
     first = known
     for _ in range(rounds):
-        support = edges.join(known, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.sum("seed").alias("seeds"), F.max("degree").alias("degree"))
-        firm = support.select("pattern", "kind", (F.col("sum") / (F.col("degree") + 0.5)).alias("confidence"), "seeds").where((F.col("seeds") >= seeds) & (F.col("confidence") >= confidence))
+        support = edges.join(known, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.sum("seed").alias("seeds"), F.count("*").alias("n"), F.max("degree").alias("degree"))
+        every = support.groupBy("pattern").agg(F.sum("sum").alias("all"), F.greatest(F.max("degree") - F.sum("n"), F.lit(0)).alias("new"))
+        share = F.col("sum") / (F.col("all") + unknown * F.col("new") + 0.5)
+        firm = support.join(every, "pattern").withColumn("confidence", share).where((F.col("seeds") >= seeds) & (F.col("confidence") >= confidence))
+        firm = firm.select("pattern", "kind", F.when(F.contains("pattern", F.lit(" ")), F.col("confidence")).otherwise(weak * F.col("confidence")).alias("confidence"))
         heard = edges.select("value", "pattern").join(firm, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))).alias("score"))
         heard = heard.join(first.select("value"), "value", "left_anti").where(F.col("score") >= score)
         known = written(first.unionByName(heard.select("value", "kind", "score", F.lit(0).alias("seed"))), "pii-known")
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
-    best = known.where((F.col("seed") == 0) & (F.length("value") <= LONGEST)).groupBy("value").agg(F.max(F.struct("score", (-order).alias("rank"), "kind")).alias("best"))
+    best = known.where("seed = 0").groupBy("value").agg(F.max(F.struct("score", (-order).alias("rank"), "kind")).alias("best"))
     return best.select("value", "best.kind")
 
 
@@ -161,11 +172,9 @@ def personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     may = F.col("text").rlike("[0-9@]")
     none = F.array().cast(f"array<{SPAN}>")
     plain = rows.where(~may).select("row", none.alias("base"), none.alias("extra"))
-    marked = with_base(rows.where(may).withColumn("key", F.sha2("text", 256)))
+    marked = with_base(rows.where(may).withColumn("key", F.unhex(F.sha2("text", 256))))
     marked = written(marked, "pii-texts")
-    # copies of a text have the same instances: one of each counts
-    texts = marked.groupBy("key").agg(F.any_value("text").alias("text"))
-    seen = written(instances(texts), "pii-instances")
+    seen = written(instances(marked), "pii-instances")
     named = seen.where("kind IS NULL").drop("kind").join(bootstrap(seen), "value")
     named = named.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.concat(F.lit(FOUND), "kind").alias("kind"), "start", "end"))).alias("named"))
     joined = marked.join(named, "key", "left")
@@ -181,24 +190,28 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in KINDS], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "extra")).alias("spans"))
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span of text replaced by its kind in brackets (overlapping spans by the first one's), n_chars (if there) set anew."""
-    found = personal_data(docs, keep_text=True)
+def redact(docs: DataFrame, text_column: str = "text", length_column: str = "n_chars") -> DataFrame:
+    """docs with every span of text replaced by its kind in brackets (overlapping spans by the first one's), length_column (if there) set anew.
+
+    Null and empty texts and those without spans stay as they are, repeated rows and null ids too; an empty table stays
+    empty. Other columns pass through, whatever their names.
+    """
+    found = personal_data(docs, text_column=text_column, keep_text=True)
     base, extra = found.columns[-2:]
     spans = F.array_sort(F.transform(F.concat(base, extra), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     clean = F.aggregate(
         spans, F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
         lambda acc, s: F.struct(
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("["), F.upper(F.replace(s["kind"], F.lit(FOUND), F.lit(""))), F.lit("]"))).otherwise(acc["out"]).alias("out"),
+            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col(text_column), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("["), F.upper(F.replace(s["kind"], F.lit(FOUND), F.lit(""))), F.lit("]"))).otherwise(acc["out"]).alias("out"),
             F.greatest(acc["at"], s["end"]).alias("at"),
         ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))),
+        lambda acc: F.concat(acc["out"], F.substring(F.col(text_column), (acc["at"] + 1).cast("int"), F.length(text_column))),
     )
     hit = F.size(spans) > 0
     new = free_name(found.columns, "clean")
     found = found.withColumn(new, F.when(hit, clean))
     own = {c: F.col(c) for c in docs.columns}
-    own["text"] = F.coalesce(F.col(new), F.col("text")).alias("text")
-    if "n_chars" in own:
-        own["n_chars"] = F.when(F.col(new).isNotNull(), F.length(new)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    own[text_column] = F.coalesce(F.col(new), F.col(text_column)).alias(text_column)
+    if length_column in own:
+        own[length_column] = F.when(F.col(new).isNotNull(), F.length(new)).otherwise(F.col(length_column)).cast(docs.schema[length_column].dataType).alias(length_column)
     return found.select(*own.values())
