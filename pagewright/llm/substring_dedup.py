@@ -3,8 +3,9 @@
 A gear hash rolls over the bytes of a text's words; a word starts a chunk where the hash of the bytes before it says so,
 so that cuts depend on what stands there and an insertion shifts none but the nearest. A variable chunk goes from a cut
 to the first cut at least LEAST_WORDS words on, so that neighbours overlap and no short line makes a chunk. Words that
-recur have few hashes and may have no cut at all, so each window of SURE_WORDS words that holds no chunk is one itself,
-and no passage of that length is missed. Chunks with equal digests are the same passage: its occurrence in the document
+recur have few hashes and may have no cut at all, so no chunk is longer than SURE_WORDS words, and each window of so many
+words that holds no chunk is one itself: no passage of that length is missed, and no insertion changes more than the
+chunks around it. Chunks with equal digests are the same passage: its occurrence in the document
 with the smallest id stays, the others are repeats.
 """
 
@@ -14,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pagewright.llm.common import slices, words_of
+from pagewright.llm.common import free_name, slices, words_of
 from pagewright.llm.decontamination import cut
 from pagewright.llm.ngram_join import MIX1, MIX2, mix, powers
 
@@ -60,7 +62,8 @@ def bare_windows(cuts: np.ndarray, first: np.ndarray, last: np.ndarray, count: n
 def chunks(texts: list[str | None]) -> tuple[np.ndarray, ...]:
     """(index of the text, d1, d2, first word, words, repeat) of every chunk; repeat counts earlier equal chunks of the text.
 
-    A run of bare windows, each a word after the other, is one passage, which doesn't repeat itself. Digests have 96 bits. Case, punctuation and white space don't matter; a text of fewer than LEAST_WORDS words has no
+    A run of bare windows, each a word after the other, is one passage, which doesn't repeat itself; equal windows of a
+    run that overlap are one row. Digests have 96 bits. Case, punctuation and white space don't matter; a text of fewer than LEAST_WORDS words has no
     chunk. The hash starts anew in each text.
     """
     words = [words_of(t) for t in texts]
@@ -82,8 +85,8 @@ def chunks(texts: list[str | None]) -> tuple[np.ndarray, ...]:
     to = np.searchsorted(cuts, cuts + LEAST_WORDS)
     end = np.where(to < len(cuts), cuts[np.minimum(to, len(cuts) - 1)], last[own])
     end = np.minimum(end, last[own])
-    long_enough = end - cuts >= LEAST_WORDS
-    cuts, own, end = cuts[long_enough], own[long_enough], end[long_enough]
+    sized = (end - cuts >= LEAST_WORDS) & (end - cuts <= SURE_WORDS)
+    cuts, own, end = cuts[sized], own[sized], end[sized]
     cuts, own, end = np.concatenate([cuts, bare]), np.concatenate([own, bare_own]), np.concatenate([end, bare + SURE_WORDS])
     kind = np.repeat(np.array([0, 1], np.uint64), [len(cuts) - len(bare), len(bare)])
     # chunks stand for themselves; windows in a row share a number
@@ -102,19 +105,26 @@ def chunks(texts: list[str | None]) -> tuple[np.ndarray, ...]:
     if same.any():
         run = np.arange(len(order)) - np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(order)), 0))
         repeat[order] = np.where(row[order] != row[order[np.arange(len(order)) - run]], run, 0)
-    return own, d1, d2, (cuts - begin[own]).astype(np.int32), (end - cuts).astype(np.int32), repeat
+    # equal windows of a run that overlap cover one stretch: a single row stands for them, however often a line of few words goes on
+    if not len(order):
+        return own, d1, d2, cuts.astype(np.int32), cuts.astype(np.int32), repeat
+    head = np.concatenate([[True], ~(same & (np.diff(row[order]) == 0) & (np.diff(cuts[order]) <= SURE_WORDS))])
+    at = np.flatnonzero(head)
+    first, final = order[at], order[np.append(at[1:], len(order)) - 1]
+    return own[first], d1[first], d2[first], (cuts - begin[own])[first].astype(np.int32), (end[final] - cuts[first]).astype(np.int32), repeat[first]
 
 
 def occurrences(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(d1, d2, doc, start, words, again) of every chunk of texts with an id."""
+    """(d1, d2, doc, start, words, again) of every chunk of texts with an id, which may be of any type that has an order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
             own, d1, d2, start, words, repeat = chunks(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), batch.column(0).take(pa.array(own)), pa.array(start), pa.array(words), pa.array(repeat > 0)], names=["d1", "d2", "doc", "start", "words", "again"])
 
-    rows = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInArrow(run, "d1 long, d2 int, doc long, start int, words int, again boolean")
+    rows = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("doc"), F.col(text_column).cast("string").alias("text"))
+    field = lambda name, kind: T.StructField(name, kind)
+    return rows.mapInArrow(run, T.StructType([field("d1", T.LongType()), field("d2", T.IntegerType()), field("doc", rows.schema["doc"].dataType), field("start", T.IntegerType()), field("words", T.IntegerType()), field("again", T.BooleanType())]))
 
 
 def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -131,32 +141,38 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     found = occurrences(docs, id_column, text_column)
     first = found.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min("doc").alias("first")).where("n > 1").select("d1", "d2", "first")
     hits = found.join(first, ["d1", "d2"]).where("again OR doc <> first")
-    span = F.struct("start", (F.col("start") + F.col("words")).alias("end"))
-    hits = hits.groupBy("doc").agg(F.sort_array(F.collect_set(span)).alias("spans"), F.sort_array(F.collect_set("first")).alias("first_docs"))
-    merged = F.expr("""aggregate(spans, cast(array() as array<struct<start:int,end:int>>), (done, s) ->
-        if(size(done) > 0 and s.start <= element_at(done, -1).end,
-           array_append(slice(done, 1, size(done) - 1), named_struct('start', element_at(done, -1).start, 'end', greatest(s.end, element_at(done, -1).end))),
-           array_append(done, s)))""")
-    hits = hits.select(F.col("doc").alias(id_column), merged.alias("spans"), "first_docs")
-    return hits.select(id_column, F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_words"), "spans", "first_docs")
+    hits = hits.select("doc", "start", (F.col("start") + F.col("words")).alias("end"), "first")
+    # chunks that overlap or touch make one span; a document's chunks are sorted, never held together
+    by = Window.partitionBy("doc").orderBy("start", "end")
+    hits = hits.withColumn("new", F.coalesce(F.col("start") > F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))
+    hits = hits.withColumn("number", F.sum(F.col("new").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = hits.groupBy("doc", "number").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.collect_set("first").alias("firsts"))
+    spans = spans.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("firsts")))).alias("first_docs"))
+    return spans.select(F.col("doc").alias(id_column), F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_words"), "spans", "first_docs")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs without the repeated passages, n_chars (if there) set anew; a document left without words goes. Other columns pass through."""
-    spans = repeats(docs).select(F.col("doc_id").alias("doc_id_"), F.transform("spans", lambda s: F.array(s["start"], s["end"])).alias("spans_"))
-    joined = docs.join(spans, docs["doc_id"] == spans["doc_id_"], "left").drop("doc_id_")
+def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length_column: str = "n_chars") -> DataFrame:
+    """docs without the repeated passages, length_column (if there) set anew; a document left without words goes.
+
+    Rows without an id, and null, empty and short texts stay as they are; rows that repeat an id all lose its spans; an
+    empty table stays empty. Other columns pass through, whatever their names.
+    """
+    key = free_name(docs.columns, "doc")
+    cuts = free_name([*docs.columns, key], "spans")
+    spans = repeats(docs, id_column, text_column).select(F.col(id_column).alias(key), F.transform("spans", lambda s: F.array(s["start"], s["end"])).alias(cuts))
+    joined = docs.join(spans, docs[id_column] == spans[key], "left").select(*[docs[c] for c in docs.columns], spans[cuts])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            at = batch.schema.get_field_index("text")
+        for batch in slices(batches, text_column):
+            at = batch.schema.get_field_index(text_column)
             texts, spans = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
             hit = [k for k, s in enumerate(spans) if s and texts[k]]
             for k in hit:
                 texts[k] = cut(texts[k].encode("utf-8", "replace"), spans[k]).decode("utf-8", "replace")
             gone = {k for k in hit if not words_of(texts[k])}
             out = batch.select(batch.schema.names[:-1]).set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-            if "n_chars" in out.schema.names:
-                to = out.schema.get_field_index("n_chars")
+            if length_column in out.schema.names:
+                to = out.schema.get_field_index(length_column)
                 sizes = out.column(to).to_pylist()
                 for k in hit:
                     sizes[k] = len(texts[k])

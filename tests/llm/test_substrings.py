@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from pagewright.llm import queries, substring_dedup
 from pagewright.llm.common import words_of
@@ -32,7 +33,7 @@ def slow_chunks(text):
     out = {}
     for c in cuts:
         end = next((e for e in cuts if e >= c + LEAST), len(words))
-        if end - c >= LEAST:
+        if LEAST <= end - c <= substring_dedup.SURE_WORDS:
             out[c, end] = b" ".join(words[c:end])
     return out
 
@@ -116,3 +117,27 @@ def test_every_passage_holds_a_chunk():
         own, d1, d2, *_ = substring_dedup.chunks([f"{say(20)} {passage} {say(20)}", f"{say(7)} {passage}", passage])
         sets = [set(zip(d1[own == k].tolist(), d2[own == k].tolist())) for k in range(3)]
         assert sets[0] & sets[1] and sets[1] & sets[2]
+
+
+def test_ids_and_names_of_any_kind(spark):
+    rng = random.Random(4)
+    passage = " ".join(f"w{rng.randrange(5000)}" for _ in range(70))
+    docs = [("b", f"{passage} end", 1, "p"), ("a", f"start {passage}", 1, "q"), ("c", None, None, "r"), ("d", "", 0, "s"), (None, passage, 1, "t"), ("b", f"{passage} end", 1, "p")]
+    frame = spark.createDataFrame(docs, "doc_id string, text string, n_chars long, doc_id_ string").withColumn("spans_", F.lit(1)).withColumn("doc", F.lit("x"))
+    got = substring_dedup.repeats(frame).collect()
+    assert [(r["doc_id"], r["first_docs"]) for r in got] == [("b", ["a"])] and got[0]["n_words"] >= 50
+    clean = substring_dedup.remove_repeats(frame)
+    rows = sorted(clean.collect(), key=repr)
+    assert clean.columns == frame.columns and len(rows) == 6 and sum(r["doc_id"] == "b" and len(r["text"]) < 150 and r["n_chars"] == len(r["text"]) for r in rows) == 2
+    assert substring_dedup.remove_repeats(frame.limit(0)).count() == 0
+
+
+def test_many_repeats_in_one_text(spark):
+    """A text of 200,000 words that repeats passages of another all over: its spans merge in one walk."""
+    rng = random.Random(6)
+    passages = [" ".join(f"w{rng.randrange(9000)}" for _ in range(60)) for _ in range(20)]
+    long = " ".join(passages[k % 20] + (f" x{k}" if k % 2 else "") for k in range(3_300))
+    frame = spark.createDataFrame([(1, " stop ".join(passages)), (2, long), (3, "one " * 50_000), (4, "two " + "one " * 50_000)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in substring_dedup.repeats(frame).collect()}
+    assert set(got) == {2, 4} and got[2]["n_words"] > 150_000 and got[2]["first_docs"] == [1, 2] and got[4]["n_words"] > 49_000
+    assert all(a["end"] < b["start"] for a, b in zip(got[2]["spans"], got[2]["spans"][1:]))
