@@ -19,6 +19,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pagewright.functions import labels
 from pagewright.inference.backend import Backend, Budget, Checked, Contract
 from pagewright.kernels import pixels, shapes
+from pagewright.operators import grouped, markdown
+from pagewright.operators.filters import finite
 from pagewright.sources.images import PAGES
 
 QUAD = "array<struct<x:int,y:int>>"
@@ -60,6 +62,10 @@ class Options:
     turn_score: float = 0.9
     control: Control = field(default_factory=Control)
 
+    def __post_init__(self):
+        for threshold in (self.box_score, self.growth, self.least_score, self.turn_score):
+            finite(threshold)
+
 
 def detector_size(width: int, height: int, limit: int = 960, most: int = 4000, stride: int = 32) -> tuple[int, int]:
     """As planning.detector_size plans it."""

@@ -1,7 +1,8 @@
 """Order-dependent operators as folds over a page's sorted boxes.
 
 A page's boxes are collected and sorted once (a page is a bounded group); what depends on what came before is the
-accumulator of an aggregate() in the same row, so that no page is dealt out again.
+accumulator of an aggregate() in the same row, so that no page is dealt out again. Accumulators are copied at each step, so
+time goes with the square of a page's boxes: meant for pages of some thousands.
 """
 
 from __future__ import annotations
@@ -39,11 +40,11 @@ def suppress(boxes: DataFrame, threshold: float = 0.3) -> DataFrame:
 def drop_overlaps(boxes: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(page, idx) of boxes that stay: of two whose overlap is above the threshold of the smaller area the smaller one goes (the first if equal), but an image goes before anything else. A box that went no longer counts; pairs are taken in index order."""
     paged = page_boxes(boxes)
-    over = lambda a: lambda b: F.struct(a["idx"].alias("i"), b["idx"].alias("j"), _loser(a, b).alias("drop"), g.overlap_small(g.box_of(a), g.box_of(b)).alias("ratio"))
-    every = F.flatten(F.transform("boxes", lambda a: F.transform(F.filter("boxes", lambda b: b["idx"] > a["idx"]), over(a))))
+    stays = lambda gone, b: ~F.array_contains(gone, b["idx"])
+    drop = lambda a: lambda gone, b: F.when(stays(gone, a) & stays(gone, b) & (g.overlap_small(g.box_of(a), g.box_of(b)) > threshold), F.array_append(gone, _loser(a, b))).otherwise(gone)
     gone = F.aggregate(
-        F.filter(every, lambda p: p["ratio"] > threshold), _empty("int"),
-        lambda gone, p: F.when(F.array_contains(gone, p["i"]) | F.array_contains(gone, p["j"]), gone).otherwise(F.array_append(gone, p["drop"])),
+        "boxes", _empty("int"),
+        lambda gone, a: F.when(stays(gone, a), F.aggregate(F.filter("boxes", lambda b: b["idx"] > a["idx"]), gone, drop(a))).otherwise(gone),
     )
     paged = paged.select("page", "boxes", gone.alias("gone"))
     return paged.select("page", F.explode(F.filter("boxes", lambda b: ~F.array_contains("gone", b["idx"]))).alias("b")).select("page", F.col("b.idx").alias("idx"))
@@ -97,8 +98,8 @@ def greedy_matches(truth: DataFrame, detections: DataFrame, threshold: float = 0
     return paged.select("page", F.explode(taken).alias("m")).select("page", F.col("m.g").alias("gt_idx"), F.col("m.d").alias("det_idx"))
 
 
-def grow_region(boxes: DataFrame, seeds: DataFrame, share: float = 0.6, rounds: int = 64) -> DataFrame:
-    """(page, idx) of boxes that a seed region claims: those with an overlap above the share join, the region becomes their hull, until the number stays the same."""
+def grow_region(boxes: DataFrame, seeds: DataFrame, share: float = 0.6) -> DataFrame:
+    """(page, idx) of boxes that a seed region claims: those with an overlap above the share join, the region becomes their hull, until the number stays the same, which takes no more rounds than the page has boxes."""
     paged = page_boxes(boxes).join(seeds.select("page", F.struct("x1", "y1", "x2", "y2").alias("region")), "page")
     hull_type = "struct<x1:double,y1:double,x2:double,y2:double>"
 
@@ -114,7 +115,7 @@ def grow_region(boxes: DataFrame, seeds: DataFrame, share: float = 0.6, rounds:
         )
 
     start = F.struct(_empty("int").alias("own"), F.col("region").cast(hull_type).alias("region"), F.lit(False).alias("done"))
-    own = F.aggregate(F.sequence(F.lit(1), F.least(F.size("boxes") + 1, F.lit(rounds))), start, step, lambda acc: acc["own"])
+    own = F.aggregate(F.sequence(F.lit(1), F.size("boxes") + 1), start, step, lambda acc: acc["own"])
     return paged.select("page", F.explode(own).alias("idx"))
 
 

@@ -70,14 +70,16 @@ def structure_accuracy(pairs: DataFrame, drop_sections: bool = False) -> DataFra
 
 
 def script_census(texts: DataFrame, column: str) -> DataFrame:
-    """(script, n, rank): code points by Unicode block, most first, equal counts in the order of the blocks.
+    """(script, n, rank): code points by Unicode block, most first, equal counts in the order of the blocks; what is in no block is Other.
 
-    Distinct characters are counted in each text before they are told apart, so that rows are bounded by alphabets.
+    Each block is counted in the row, so that one row of sums leaves a partition, however long its texts are.
     """
-    chars = texts.select(F.explode(F.split(column, "")).alias("char")).where("char <> ''").groupBy("char").agg(F.count("*").alias("n"))
-    counts = chars.select(t.script_of(F.col("char")).alias("script"), "n").groupBy("script").agg(F.sum("n").alias("n"))
-    ranked = counts.orderBy(F.desc("n"), t.script_rank(F.col("script")))
-    return ranked
+    blocks = [(name, F.regexp_count(column, F.lit(f"[\\x{{{low:X}}}-\\x{{{high:X}}}]"))) for name, low, high in t.SCRIPTS]
+    sums = texts.agg(*[F.coalesce(F.sum(c.cast("bigint")), F.lit(0)).alias(f"n{k}") for k, (_, c) in enumerate(blocks)], F.coalesce(F.sum(F.length(column).cast("bigint")), F.lit(0)).alias("all"))
+    known = [F.col(f"n{k}") for k in range(len(blocks))]
+    counts = [*zip((name for name, _ in blocks), known), ("Other", F.col("all") - sum(known, F.lit(0)))]
+    rows = F.array_sort(F.array(*[F.struct((-n).alias("less"), F.lit(k).alias("place"), F.lit(name).alias("script"), n.alias("n")) for k, (name, n) in enumerate(counts)]))
+    return sums.select(F.posexplode(F.filter(rows, lambda r: r["n"] > 0)).alias("pos", "r")).select("r.script", "r.n", (F.col("pos") + 1).alias("rank"))
 
 
 def stage_report(events: DataFrame, stages: tuple[str, ...]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.functions import geometry as g
 from pagewright.functions import labels
 from pagewright.functions.numbers import five_places
 
@@ -52,3 +53,35 @@ def first_seen(rows: DataFrame, key: str, value: Column, position: str) -> DataF
     """(key, pos, value): distinct values by where they come first; nulls left out."""
     firsts = rows.select(key, value.alias("value"), position).where("value IS NOT NULL").groupBy(key, "value").agg(F.min(position).alias("at"))
     return firsts.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("at")) - 1).alias("pos"), "value")
+
+
+def restore_order(planned: DataFrame) -> DataFrame:
+    """(page, pos, batch, slot) of a batch plan: where the result of each crop is, in the order in which the crops came."""
+    return planned.select("page", (F.row_number().over(Window.partitionBy("page").orderBy("idx")) - 1).alias("pos"), "batch", "slot")
+
+
+def line_places(lines: DataFrame, tall: float = 2.0, normal: float = 1.1, share: float = 0.4, column: float = 2.0) -> DataFrame:
+    """(page, idx, widest, kept, place): the widest line up to each; whether a line stays when tall lines go; and its place by column, then top.
+
+    Tall lines go if the tallest is more than twice the lowest and fewer than the share of the lines are about as low as
+    the lowest (under 1.1 times).
+    """
+    whole, upto = Window.partitionBy("page"), Window.partitionBy("page").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    b = g.box()
+    h = b.y2 - b.y1
+    rows = lines.select("page", "idx", "x1", "y1", h.alias("h"), F.max(b.x2 - b.x1).over(upto).alias("widest"), F.max(h).over(whole).alias("most"), F.min(h).over(whole).alias("low"), F.count("*").over(whole).alias("n"))
+    rows = rows.withColumn("usual", F.sum((F.col("h") < normal * F.col("low")).cast("int")).over(whole))
+    goes = (F.col("most") > tall * F.col("low")) & (F.col("usual") < share * F.col("n")) & (F.col("h") > normal * F.col("low"))
+    place = F.row_number().over(Window.partitionBy("page").orderBy(F.floor(F.col("x1") / column), "y1", "idx"))
+    return rows.select("page", "idx", "widest", (~goes).alias("kept"), place.alias("place"))
+
+
+def page_frames(boxes: DataFrame, line_height: float = 10.0, line_width: float = 20.0) -> DataFrame:
+    """(page, x1, y1, x2, y2, most, lowest, horizontal, line_height, line_width): the hull of a page's boxes, the largest area, the lowest edge of a text, whether at least half lie flat, and the mean size of texts (the defaults without any)."""
+    b, text = g.box(), F.col("label") == "text"
+    w, h = b.x2 - b.x1, b.y2 - b.y1
+    mean = lambda side, without: F.coalesce(F.avg(F.when(text, side)), F.lit(without))
+    return boxes.groupBy("page").agg(
+        F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.max(g.area(b)).alias("most"), F.max(F.when(text, b.y2)).alias("lowest"),
+        (F.sum((w >= h).cast("int")) * 2 >= F.count("*")).alias("horizontal"), mean(h, line_height).alias("line_height"), mean(w, line_width).alias("line_width"),
+    )

@@ -17,29 +17,32 @@ def first_maximum(scores: Column) -> Column:
 
 
 def ctc_decode(steps: DataFrame, dictionary: DataFrame, key: str) -> DataFrame:
-    """(key, text, score, n): a class is kept if it isn't blank (0) and differs from the step before, blank or not; score is the single-precision mean of kept maxima, 0 without any.
+    """(key, text, score, n, error): a class is kept if it isn't blank (0) and differs from the step before, blank or not; score is the single-precision mean of kept maxima, 0 without any.
 
     steps: key, t, scores array<float>; dictionary: class_id, text (a small fixed table). A kept class that the
-    dictionary lacks gives a null text.
+    dictionary lacks gives an error, and neither text nor score.
     """
     best = steps.select(key, "t", first_maximum(F.col("scores")).alias("class_id"), F.array_max("scores").alias("top"))
     before = F.lag("class_id").over(Window.partitionBy(key).orderBy("t"))
     kept = best.withColumn("before", before).where((F.col("class_id") != 0) & (F.col("before").isNull() | (F.col("before") != F.col("class_id"))))
     named = kept.join(F.broadcast(dictionary), "class_id", "left")  # a recognizer's dictionary: tens of thousands of entries at most
-    rows = named.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("t", F.coalesce("text", F.lit("")).alias("text"), "top", F.col("text").isNull().alias("unknown")))).alias("rows"))
+    rows = named.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("t", F.coalesce("text", F.lit("")).alias("text"), "top", F.when(F.col("text").isNull(), F.col("class_id")).alias("unknown")))).alias("rows"))
     total = F.aggregate("rows", F.lit(0).cast("float"), lambda s, r: (s + r["top"]).cast("float"))
-    text = F.when(F.exists("rows", lambda r: r["unknown"]), F.lit(None)).otherwise(F.array_join(F.transform("rows", lambda r: r["text"]), ""))
-    found = rows.select(key, text.alias("text"), (total / F.size("rows").cast("float")).cast("float").alias("score"), F.size("rows").alias("n"))
+    text = F.array_join(F.transform("rows", lambda r: r["text"]), "")
+    unknown = F.get(F.filter("rows", lambda r: r["unknown"].isNotNull()), F.lit(0))["unknown"]
+    error = F.concat(F.lit("class "), unknown.cast("string"), F.lit(" is unknown"))
+    sound = lambda c: F.when(unknown.isNull(), c)
+    found = rows.select(key, sound(text).alias("text"), sound((total / F.size("rows").cast("float")).cast("float")).alias("score"), F.size("rows").alias("n"), error.alias("error"))
     none = steps.select(key).distinct().join(found.select(key), key, "left_anti")
-    return found.unionByName(none.select(key, F.lit("").alias("text"), F.lit(0).cast("float").alias("score"), F.lit(0).alias("n")))
+    return found.unionByName(none.select(key, F.lit("").alias("text"), F.lit(0).cast("float").alias("score"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("error")))
 
 
-def dictionary_rows(lines: DataFrame, appends_space: bool) -> DataFrame:
-    """(class_id, text) from a whole dictionary text in column value: an entry a line, one carriage return at its end goes, nothing else is trimmed; class 0 is blank."""
+def dictionary_rows(lines: DataFrame, appends_space: bool, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, class_id, text) from whole dictionary texts in column value: an entry a line, one carriage return at its end goes, nothing else is trimmed; class 0 is blank."""
     text = F.regexp_replace(F.col("value"), r"\n\z", "")
-    rows = lines.select(F.posexplode(F.split(text, "\n", -1)).alias("pos", "entry")).select((F.col("pos") + 1).alias("class_id"), F.regexp_replace("entry", r"\r\z", "").alias("text"))
+    rows = lines.select(*keys, F.posexplode(F.split(text, "\n", -1)).alias("pos", "entry")).select(*keys, (F.col("pos") + 1).alias("class_id"), F.regexp_replace("entry", r"\r\z", "").alias("text"))
     if appends_space:
-        rows = rows.unionByName(rows.agg((F.max("class_id") + 1).alias("class_id")).select("class_id", F.lit(" ").alias("text")))
+        rows = rows.unionByName(rows.groupBy(*keys).agg((F.max("class_id") + 1).alias("class_id")).select(*keys, "class_id", F.lit(" ").alias("text")))
     return rows
 
 
@@ -98,8 +101,9 @@ def table_html(tables: DataFrame, matches: DataFrame, starts: DataFrame, key: st
 
     def clean(text: Column) -> Column:
         text = F.when(F.startswith(text, F.lit(" ")), F.substring(text, F.lit(2), F.length(text))).otherwise(text)
-        text = F.when(F.contains(text, F.lit("<b>")), F.substring(text, F.lit(4), F.length(text))).otherwise(text)
-        return F.when(F.contains(text, F.lit("</b>")), F.substring(text, F.lit(1), F.length(text) - 4)).otherwise(text)
+        cut = lambda c, first, length: F.substring(c.cast("binary"), first, length).cast("string")  # noqa: E731  bytes, not characters
+        text = F.when(F.contains(text, F.lit("<b>")), cut(text, F.lit(4), F.octet_length(text))).otherwise(text)
+        return F.when(F.contains(text, F.lit("</b>")), cut(text, F.lit(1), F.octet_length(text) - 4)).otherwise(text)
 
     said = F.transform("texts", lambda t: clean(t))
     joined = F.aggregate(

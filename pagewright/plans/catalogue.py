@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from pagewright.functions import geometry as g
 from pagewright.functions import labels, numbers
 from pagewright.functions import text as t
-from pagewright.operators import folds, grouped, markdown, metrics, ordering, output, planning, profiles, recognition, spatial
+from pagewright.operators import filters, folds, grouped, markdown, metrics, ordering, output, planning, profiles, recognition, spatial
+from pagewright.plans import stated
 from pagewright.plans.relations import BOXES_SQL, MAPS_SQL, STEPS_SQL, TRUTH_SQL, boxes, maps, pages_of_turns, score_steps, truth
 from pagewright.session import load
-from pagewright.sources import manifest
+from pagewright.sources import images, manifest
 from pagewright.streaming import events as stream_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,7 +107,7 @@ def box_pairs(spark, sf_dir):
 
 
 @query(f"""WITH {BOXES_SQL} SELECT a.page, a.idx AS block_idx, b.idx AS span_idx FROM boxes a JOIN boxes b ON a.page = b.page
-WHERE a.label NOT IN ({quoted(labels.NO_SPANS)}) AND a.idx % 2 = 0 AND b.idx % 2 = 1 AND least(a.x2, b.x2) - greatest(a.x1, b.x1) > 3 AND least(a.y2, b.y2) - greatest(a.y1, b.y1) > 3""")
+WHERE a.label NOT IN ({quoted(stated.NO_SPANS)}) AND a.idx % 2 = 0 AND b.idx % 2 = 1 AND least(a.x2, b.x2) - greatest(a.x1, b.x1) > 3 AND least(a.y2, b.y2) - greatest(a.y1, b.y1) > 3""")
 def span_block_overlap(spark, sf_dir):
     rows = boxes(spark, sf_dir)
     return spatial.spans_in_blocks(rows.where("idx % 2 = 1"), rows.where("idx % 2 = 0"))
@@ -220,12 +221,12 @@ def cell_text_match(spark, sf_dir):
 
 
 @query(f"""{ROWS_SQL}, flags AS (SELECT page, row, count(*) AS n FROM placed GROUP BY page, row), sums AS (SELECT page, row, CAST(sum(n) OVER (PARTITION BY page ORDER BY row) - n AS BIGINT) AS flag FROM flags),
-starts AS (SELECT page, idx AS row, idx * 2 AS start FROM boxes WHERE idx < 4)
+starts AS (SELECT page, idx AS row, idx * 2 AS start FROM boxes)
 SELECT s.page, s.row, s.start, coalesce(max(flag), s.start) AS aligned FROM starts s LEFT JOIN sums f ON f.page = s.page AND f.flag <= s.start GROUP BY s.page, s.row, s.start""")
 def row_flag_asof(spark, sf_dir):
     counts = cell_rows(spark, sf_dir).groupBy("page", "row").agg(F.count("*").alias("n"))
     flags = counts.select("page", (F.sum("n").over(Window.partitionBy("page").orderBy("row")) - F.col("n")).alias("flag"))
-    starts = boxes(spark, sf_dir).where("idx < 4").select("page", F.col("idx").alias("row"), (F.col("idx") * 2).alias("start"))
+    starts = boxes(spark, sf_dir).select("page", F.col("idx").alias("row"), (F.col("idx") * 2).alias("start"))
     return spatial.align_rows(flags, starts)
 
 
@@ -267,7 +268,7 @@ HIST_SQL = """hist AS (
 
 @query(f"WITH {BOXES_SQL}, {HIST_SQL} SELECT page, place, n FROM hist")
 def projection_histogram(spark, sf_dir):
-    return profiles.projection(boxes(spark, sf_dir))
+    return profiles.projection(boxes(spark, sf_dir)).where("error IS NULL").drop("error")
 
 
 @query(f"""WITH {BOXES_SQL}, {HIST_SQL}, s AS (SELECT page, place, CASE WHEN place - lag(place) OVER (PARTITION BY page ORDER BY place) > 1 THEN 1 ELSE 0 END AS brk FROM hist WHERE n > 1),
@@ -322,11 +323,10 @@ def batch_plan(spark, sf_dir):
 
 @query(f"{PLAN_SQL} SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY idx) - 1 AS INTEGER) AS pos, batch, slot FROM m")
 def restore_order(spark, sf_dir):
-    planned = ordering.batch_plan(crops(spark, sf_dir))
-    return planned.select("page", (F.row_number().over(Window.partitionBy("page").orderBy("idx")) - 1).alias("pos"), "batch", "slot")
+    return ordering.restore_order(ordering.batch_plan(crops(spark, sf_dir)))
 
 
-@query(f"""WITH {BOXES_SQL} SELECT page, idx, label, CASE WHEN label IN ({quoted(labels.NUMBERED)}) THEN CAST(count(*) FILTER (WHERE label IN ({quoted(labels.NUMBERED)})) OVER (PARTITION BY page ORDER BY idx) AS BIGINT) END AS order_index FROM boxes""")
+@query(f"""WITH {BOXES_SQL} SELECT page, idx, label, CASE WHEN label IN ({quoted(stated.NUMBERED)}) THEN CAST(count(*) FILTER (WHERE label IN ({quoted(stated.NUMBERED)})) OVER (PARTITION BY page ORDER BY idx) AS BIGINT) END AS order_index FROM boxes""")
 def order_index(spark, sf_dir):
     return ordering.order_index(boxes(spark, sf_dir)).select("page", "idx", "label", F.col("order_index").cast("bigint").alias("order_index"))
 
@@ -340,7 +340,7 @@ def table_running_index(spark, sf_dir):
     return ordering.nth_table(rows, html)
 
 
-@query(f"""WITH {BOXES_SQL}, p AS (SELECT page, label AS value, min(idx) AS first FROM boxes WHERE label IN ({quoted(labels.GATHERED_IMAGES)}) GROUP BY page, label)
+@query(f"""WITH {BOXES_SQL}, p AS (SELECT page, label AS value, min(idx) AS first FROM boxes WHERE label IN ({quoted(stated.GATHERED_IMAGES)}) GROUP BY page, label)
 SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY first) - 1 AS INTEGER) AS pos, value FROM p""")
 def first_seen_images(spark, sf_dir):
     return ordering.first_seen(boxes(spark, sf_dir), "page", F.when(F.col("label").isin(*labels.GATHERED_IMAGES), F.col("label")), "idx")
@@ -350,48 +350,84 @@ def first_seen_images(spark, sf_dir):
   x1, x2, y1 FROM boxes), b AS (SELECT *, count(*) FILTER (WHERE h < 1.1 * low) OVER (PARTITION BY page) AS normal FROM a)
 SELECT page, idx, widest, NOT (tall > 2 * low AND normal < 0.4 * n AND h > 1.1 * low) AS kept, CAST(row_number() OVER (PARTITION BY page ORDER BY floor(x1 / 2), y1, idx) AS INTEGER) AS place FROM b""")
 def line_widths_and_tall_lines(spark, sf_dir):
-    whole, upto = Window.partitionBy("page"), Window.partitionBy("page").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    h = F.col("y2") - F.col("y1")
-    rows = boxes(spark, sf_dir).select("page", "idx", "x1", "y1", F.max(F.col("x2") - F.col("x1")).over(upto).alias("widest"), F.max(h).over(whole).alias("tall"), F.min(h).over(whole).alias("low"), h.alias("h"), F.count("*").over(whole).alias("n"))
-    normal = F.sum((F.col("h") < 1.1 * F.col("low")).cast("int")).over(whole)
-    place = F.row_number().over(Window.partitionBy("page").orderBy(F.floor(F.col("x1") / 2), "y1", "idx"))
-    rows = rows.withColumn("normal", normal)
-    kept = ~((F.col("tall") > 2 * F.col("low")) & (F.col("normal") < 0.4 * F.col("n")) & (F.col("h") > 1.1 * F.col("low")))
-    return rows.select("page", "idx", "widest", kept.alias("kept"), place.alias("place"))
+    return ordering.line_places(boxes(spark, sf_dir))
 
 
 @query(f"""WITH {BOXES_SQL} SELECT page, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, max((x2 - x1) * (y2 - y1)) AS most, max(y2) FILTER (WHERE label = 'text') AS lowest,
   count(*) FILTER (WHERE x2 - x1 >= y2 - y1) * 2 >= count(*) AS horizontal, round(coalesce(avg(y2 - y1) FILTER (WHERE label = 'text'), 10), 6) AS line_height, round(coalesce(avg(x2 - x1) FILTER (WHERE label = 'text'), 20), 6) AS line_width FROM boxes GROUP BY page""")
 def page_frames(spark, sf_dir):
-    w, h, text = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("label") == "text"
-    return boxes(spark, sf_dir).groupBy("page").agg(
-        F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.max(g.area(g.box())).alias("most"), F.max(F.when(text, F.col("y2"))).alias("lowest"),
-        (F.sum((w >= h).cast("int")) * 2 >= F.count("*")).alias("horizontal"), six(F.coalesce(F.avg(F.when(text, h)), F.lit(10.0))).alias("line_height"), six(F.coalesce(F.avg(F.when(text, w)), F.lit(20.0))).alias("line_width"),
-    )
+    return ordering.page_frames(boxes(spark, sf_dir)).withColumns({c: six(F.col(c)) for c in ("line_height", "line_width")})
 
 
-ROLE_SQL = "CASE " + " ".join(f"WHEN label IN ({quoted(m)}) THEN '{r}'" for r, m in labels.ROLES.items()) + " ELSE 'normal_text' END"
+ROLE_SQL = "CASE " + " ".join(f"WHEN label IN ({quoted(m)}) THEN '{r}'" for r, m in stated.ROLES.items()) + " ELSE 'normal_text' END"
 
 
-@query(f"""WITH {BOXES_SQL} SELECT page, idx, {ROLE_SQL} AS role, label IN ({quoted(labels.MASK)}) AS masked, label IN ({quoted(labels.VISION)}) AS vision, label IN ({quoted(labels.NOT_IN_MARKDOWN)}) AS hidden,
-  CASE WHEN label IN ({quoted(labels.WITH_IMAGE)}) THEN 'imgs/img_in_' || label || '_box_' || CAST(x1 AS BIGINT) || '_' || CAST(y1 AS BIGINT) || '_' || CAST(x2 AS BIGINT) || '_' || CAST(y2 AS BIGINT) || '.jpg' END AS image_path FROM boxes""")
+@query(f"""WITH {BOXES_SQL} SELECT page, idx, {ROLE_SQL} AS role, label IN ({quoted(stated.MASK)}) AS masked, label IN ({quoted(stated.VISION)}) AS vision, label IN ({quoted(stated.NOT_IN_MARKDOWN)}) AS hidden,
+  CASE WHEN label IN ({quoted(stated.WITH_IMAGE)}) THEN 'imgs/img_in_' || label || '_box_' || CAST(x1 AS BIGINT) || '_' || CAST(y1 AS BIGINT) || '_' || CAST(x2 AS BIGINT) || '_' || CAST(y2 AS BIGINT) || '.jpg' END AS image_path FROM boxes""")
 def label_roles(spark, sf_dir):
     label = F.col("label")
     return boxes(spark, sf_dir).select("page", "idx", labels.role(label).alias("role"), label.isin(*labels.MASK).alias("masked"), label.isin(*labels.VISION).alias("vision"), label.isin(*labels.NOT_IN_MARKDOWN).alias("hidden"), labels.image_path(label, *g.box()).alias("image_path"))
 
 
-@query(f"""WITH {BOXES_SQL}, s AS (SELECT *, least(x2 - x1, y2 - y1) - 20 AS side FROM boxes)
-SELECT page, idx, CAST(score AS FLOAT) > CAST(0.05 AS FLOAT) AS segment, NOT (side < 3) AS side_before, NOT (score < 0.06) AS box_score, NOT (side < 5) AS side_after, score >= 0.05 AS recognized, idx < 3 AS candidate,
-  contains(label, 'title') AND score > 0.04 AS turned, CAST(trunc(least(greatest(x1, 0), 199)) AS BIGINT) AS clipped FROM s""")
+@query(f"""WITH {BOXES_SQL}, s AS (SELECT *, least(x2 - x1, y2 - y1) - 20 AS side, score * 10 AS v FROM boxes)
+SELECT page, idx, CAST(v AS FLOAT) > CAST(0.3 AS FLOAT) AS segment, NOT (side < 3) AS side_before, NOT (v < 0.6::DOUBLE) AS box_score, NOT (side < 5) AS side_after, v >= 0.5::DOUBLE AS recognized, idx * 300 < 1000 AS candidate,
+  v > x2 / 400 AND v > 0.9::DOUBLE AS turned, CAST(trunc(least(greatest(x1, 0), 199)) AS BIGINT) AS clipped FROM s""")
 def threshold_filters(spark, sf_dir):
-    """Every threshold with its own strictness."""
-    score, side = F.col("score"), F.least(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) - 20
+    """Every threshold with its own strictness, as the engine has it."""
+    score, side = F.col("score") * 10, F.least(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) - 20
     return boxes(spark, sf_dir).select(
-        "page", "idx", (score.cast("float") > F.lit(0.05).cast("float")).alias("segment"), (~(side < 3)).alias("side_before"), (~(score < 0.06)).alias("box_score"), (~(side < 5)).alias("side_after"),
-        (score >= 0.05).alias("recognized"), (F.col("idx") < 3).alias("candidate"), (F.contains("label", F.lit("title")) & (score > 0.04)).alias("turned"), g.clip_corner(F.col("x1"), F.lit(200.0)).alias("clipped"),
+        "page", "idx", filters.bright(score).alias("segment"), filters.long_enough(side, 3).alias("side_before"), filters.scored(score).alias("box_score"), filters.long_enough(side, 5).alias("side_after"),
+        filters.recognized(score).alias("recognized"), filters.candidate(F.col("idx") * 300).alias("candidate"), filters.upside_down(F.col("x2") / 400, score).alias("turned"), g.clip_corner(F.col("x1"), F.lit(200.0)).alias("clipped"),
     )
 
 
+# New ones beside them: corners, distances, headings and signatures.
+
+
+@query(f"""WITH {BOXES_SQL}, p AS (SELECT page, idx, unnest([0, 1, 2, 3]) AS k, x1, y1, x2, y2 FROM boxes),
+c AS (SELECT page, idx, k, CASE k WHEN 0 THEN x2 WHEN 1 THEN x1 + 3 WHEN 2 THEN x2 - 7 ELSE x1 END AS x, CASE k WHEN 0 THEN y2 WHEN 1 THEN y1 WHEN 2 THEN y1 + 2 ELSE y2 + 5 END AS y FROM p),
+a AS (SELECT page, idx, arg_min({{'x': x, 'y': y}}, x + y) AS a, arg_min({{'x': x, 'y': y}}, y - x) AS b, arg_max({{'x': x, 'y': y}}, x + y) AS c, arg_max({{'x': x, 'y': y}}, y - x) AS d,
+  count(DISTINCT x + y) = 4 AND count(DISTINCT y - x) = 4 AS clear FROM c GROUP BY page, idx)
+SELECT page, idx, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS "by", c.x AS cx, c.y AS cy, d.x AS dx, d.y AS dy FROM a WHERE clear""")
+def clockwise_corners(spark, sf_dir):
+    """Corners in order, of quadrilaterals whose coordinate sums and differences are all different."""
+    b = g.box()
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    quad = F.array(point(b.x2, b.y2), point(b.x1 + 3, b.y1), point(b.x2 - 7, b.y1 + 2), point(b.x1, b.y2 + 5))
+    rows = boxes(spark, sf_dir).select("page", "idx", quad.alias("q"))
+    different = lambda key: F.size(F.array_distinct(F.transform("q", key))) == 4
+    rows = rows.where(different(lambda p: p["x"] + p["y"]) & different(lambda p: p["y"] - p["x"])).select("page", "idx", g.order_corners(F.col("q")).alias("q"))
+    return rows.select("page", "idx", *[F.col("q")[k][c].alias(f"{n}{c}") for k, n in enumerate("abcd") for c in "xy"])
+
+
+@query(f"""WITH {BOXES_SQL}, n AS (SELECT *, lead({{'x': x1, 'y': y1}}) OVER (PARTITION BY page ORDER BY idx) AS b FROM boxes)
+SELECT page, idx, abs(x1 - b.x) * 1 + abs(y1 - b.y) * 1 AS plain, abs(x1 - b.x) * 0.25::DOUBLE + abs(y1 - b.y) * 2 AS weighted, sqrt(x1 * x1 + y1 * y1) AS corner FROM n WHERE b IS NOT NULL""")
+def city_distances(spark, sf_dir):
+    """How far each box's corner is from the next one's, axis by axis, and from the origin."""
+    after = F.lead(F.struct("x1", "y1")).over(Window.partitionBy("page").orderBy("idx"))
+    rows = boxes(spark, sf_dir).withColumn("b", after).where("b IS NOT NULL")
+    far = lambda *w: g.city_distance(F.col("x1"), F.col("y1"), F.col("b.x1"), F.col("b.y1"), *w)
+    return rows.select("page", "idx", far().alias("plain"), far(0.25, 2.0).alias("weighted"), g.corner_distance(g.box()).alias("corner"))
+
+
+@query(f"""WITH leads AS (SELECT item_id, text, length(text) % 4 AS level, regexp_replace(text, '^\\s+', '') AS lead, regexp_extract(regexp_replace(text, '^\\s+', ''), '^(?:{stated.NUMBERING})') AS num FROM benchmark),
+titles AS (SELECT *, regexp_replace(CASE WHEN num <> '' THEN trim(num) || ' ' || regexp_replace(substr(lead, length(num) + 1), '^\\s+', '') ELSE text END, '\\.+$', '') AS title FROM leads)
+SELECT item_id, replace(replace(CASE WHEN level > 0 THEN repeat('#', level + 1) || ' ' || text ELSE repeat('#', length(title) - length(replace(title, '.', '')) + 2) || ' ' || title END, '-' || chr(10), ''), chr(10), ' ') AS heading FROM titles""".replace("\\\\", "\\"))
+def paragraph_headings(spark, sf_dir):
+    """Headings whose level is given, and those whose level the dots give."""
+    level = F.length("text") % 4
+    return load(spark, sf_dir, "benchmark").select("item_id", t.format_paragraph_title(F.col("text"), F.when(level > 0, level)).alias("heading"))
+
+
+@query("""WITH s AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '89504E470D0A1A0A' WHEN 1 THEN 'FFD8FF' WHEN 2 THEN '89504E470D0A1A' WHEN 3 THEN 'FFD8' ELSE '' END || hex(encode(text)) AS content FROM documents)
+SELECT doc_id, CASE WHEN starts_with(content, 'FFD8FF') THEN 'jpeg' WHEN starts_with(content, '89504E470D0A1A0A') THEN 'png' END AS kind FROM s""")
+def format_sniff(spark, sf_dir):
+    """Texts behind whole and broken signatures."""
+    heads = F.array(*[F.unhex(F.lit(h)) for h in ("89504E470D0A1A0A", "FFD8FF", "89504E470D0A1A", "FFD8", "")])
+    rows = load(spark, sf_dir, "documents").select("doc_id", F.concat(heads[(F.col("doc_id") % 5).cast("int")], F.encode("text", "UTF-8")).alias("content"))
+    return rows.select("doc_id", images.image_format(F.col("content")).alias("kind"))
+
+
 # -- plans of sizes ----------------------------------------------------------------------------------------------------
 
 
@@ -469,15 +505,10 @@ def ctc_decode(spark, sf_dir):
 
 
 @query(f"""WITH {STEPS_SQL}, r AS (SELECT vec_id * 16 + t AS row, unnest(range(4)) AS class, unnest(scores) AS raw FROM steps), k AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY raw DESC, class DESC) AS rank FROM r)
-SELECT row, CAST(rank AS INTEGER) AS rank, CAST(class AS INTEGER) AS class, round(CAST(raw AS DOUBLE), 4) AS score FROM k WHERE rank <= 5""")
+SELECT row, CAST(rank AS INTEGER) AS rank, CAST(class AS INTEGER) AS class, CAST(CAST(round_even(CAST(CAST(raw AS FLOAT) * CAST(100000 AS FLOAT) AS DOUBLE), 0) AS FLOAT) / CAST(100000 AS FLOAT) AS FLOAT) AS score FROM k WHERE rank <= 5""")
 def topk_rank(spark, sf_dir):
     rows = score_steps(spark, sf_dir).select((F.col("vec_id") * 16 + F.col("t")).alias("row"), "scores")
-    ranked = ordering.top_classes(rows, "row")
-    exact = rows.select("row", F.posexplode("scores").alias("class", "raw"))
-    close = ranked.join(exact, ["row", "class"])  # single-precision rounding stays within half a unit of the fifth place
-    return close.where(F.abs(F.col("score") - F.col("raw")) < 6e-6).select("row", "rank", "class", F.round(F.col("raw").cast("double"), 4).alias("score"))
-
-
+    return ordering.top_classes(rows, "row")
 
 
 @query(f"""WITH s AS (SELECT vec_id, t, list_slice(embedding, t * 8 + 1, t * 8 + 8) AS scores FROM embeddings, (SELECT unnest(range(8)) AS t)),
@@ -494,20 +525,21 @@ def structure_decode(spark, sf_dir):
 
 @query(f"WITH {MAPS_SQL} SELECT vec_id, y, x, CAST(v AS DOUBLE) > CAST(CAST(0.1 AS FLOAT) AS DOUBLE) AS bit FROM maps")
 def db_segmentation(spark, sf_dir):
-    return maps(spark, sf_dir).select("vec_id", "y", "x", (F.col("v") > F.lit(0.1).cast("float")).alias("bit"))
+    return maps(spark, sf_dir).select("vec_id", "y", "x", filters.bright(F.col("v"), 0.1).alias("bit"))
 
 
 # -- text --------------------------------------------------------------------------------------------------------------
 
-SCRIPT_SQL = "CASE " + " ".join(f"WHEN unicode(c) BETWEEN {low} AND {high} THEN '{name}'" for name, low, high in t.SCRIPTS) + " ELSE 'Other' END"
+SCRIPT_SQL = "CASE " + " ".join(f"WHEN unicode(c) BETWEEN {low} AND {high} THEN '{name}'" for name, low, high in stated.SCRIPTS) + " ELSE 'Other' END"
 
 
-@query(f"SELECT {SCRIPT_SQL} AS script, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' GROUP BY 1")
+@query(f"""WITH n AS (SELECT {SCRIPT_SQL} AS script, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' GROUP BY 1)
+SELECT script, n, CAST(row_number() OVER (ORDER BY n DESC, coalesce(list_position([{quoted(s[0] for s in stated.SCRIPTS)}], script), 99)) AS INTEGER) AS rank FROM n""")
 def script_census(spark, sf_dir):
     return metrics.script_census(load(spark, sf_dir, "documents"), "text")
 
 
-TITLE_SQL = rf"""WITH a AS (SELECT doc_id, text, regexp_replace(text, '^\s+', '') AS lead FROM documents), n AS (SELECT *, regexp_extract(lead, '^(?:{t.NUMBERING})') AS num FROM a),
+TITLE_SQL = rf"""WITH a AS (SELECT doc_id, text, regexp_replace(text, '^\s+', '') AS lead FROM documents), n AS (SELECT *, regexp_extract(lead, '^(?:{stated.NUMBERING})') AS num FROM a),
 b AS (SELECT doc_id, regexp_replace(CASE WHEN num <> '' THEN trim(num) || ' ' || regexp_replace(substr(lead, length(num) + 1), '^\s+', '') ELSE text END, '\.+$', '') AS title FROM n)
 SELECT doc_id, sha256(replace(replace(repeat('#', length(title) - length(replace(title, '.', '')) + 2) || ' ' || title, '-' || chr(10), ''), chr(10), ' ')) AS heading FROM b"""
 
@@ -582,7 +614,7 @@ def paragraph_merge(spark, sf_dir):
 def text_blocks(spark, sf_dir):
     """Boxes with texts of a benchmark item and the geometry of their lines."""
     items = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), F.col("text").alias("content"))
-    rows = boxes(spark, sf_dir).withColumn("key", (F.col("page") + F.col("idx")) % 40).join(F.broadcast(items), "key", "left")
+    rows = boxes(spark, sf_dir).join(items.agg((F.max("key") + 1).alias("n")), F.lit(True)).withColumn("key", (F.col("page") + F.col("idx")) % F.col("n")).join(items, "key", "left")
     w = F.col("x2") - F.col("x1")
     return rows.select(
         "page", "idx", "label", F.coalesce("content", F.lit("")).alias("content"), labels.image_path(F.col("label"), *g.box()).alias("image_path"), w.alias("box_width"), F.lit(300.0).alias("page_width"),
@@ -591,13 +623,13 @@ def text_blocks(spark, sf_dir):
 
 
 BLOCKS_SQL = rf"""{BOXES_SQL}, leads AS (
-  SELECT item_id, text, regexp_replace(text, '^\s+', '') AS lead, regexp_extract(regexp_replace(text, '^\s+', ''), '^(?:{t.NUMBERING})') AS num FROM benchmark
+  SELECT item_id, text, regexp_replace(text, '^\s+', '') AS lead, regexp_extract(regexp_replace(text, '^\s+', ''), '^(?:{stated.NUMBERING})') AS num FROM benchmark
 ), titles AS (
   SELECT item_id, text, regexp_replace(CASE WHEN num <> '' THEN trim(num) || ' ' || regexp_replace(substr(lead, length(num) + 1), '^\s+', '') ELSE text END, '\.+$', '') AS title FROM leads
 ), blocks AS (
-  SELECT b.page, b.idx, label, coalesce(text, '') AS content, replace(replace(repeat('#', coalesce(length(title) - length(replace(title, '.', '')), 0) + 2) || ' ' || coalesce(title, ''), '-' || chr(10), ''), chr(10), ' ') AS heading, CASE WHEN label IN ({quoted(labels.WITH_IMAGE)}) THEN 'imgs/img_in_' || label || '_box_' || CAST(x1 AS BIGINT) || '_' || CAST(y1 AS BIGINT) || '_' || CAST(x2 AS BIGINT) || '_' || CAST(y2 AS BIGINT) || '.jpg' END AS path,
+  SELECT b.page, b.idx, label, coalesce(text, '') AS content, replace(replace(repeat('#', coalesce(length(title) - length(replace(title, '.', '')), 0) + 2) || ' ' || coalesce(title, ''), '-' || chr(10), ''), chr(10), ' ') AS heading, CASE WHEN label IN ({quoted(stated.WITH_IMAGE)}) THEN 'imgs/img_in_' || label || '_box_' || CAST(x1 AS BIGINT) || '_' || CAST(y1 AS BIGINT) || '_' || CAST(x2 AS BIGINT) || '_' || CAST(y2 AS BIGINT) || '.jpg' END AS path,
          x1 AS s, x2 AS e, x1 + idx % 3 * 8 AS ss, x2 - idx % 2 * 12 AS se, idx % 3 + 1 AS lines, x2 - x1 AS width
-  FROM boxes b LEFT JOIN titles i ON i.item_id = (b.page + b.idx) % 40
+  FROM boxes b LEFT JOIN titles i ON i.item_id = (b.page + b.idx) % (SELECT max(item_id) + 1 FROM benchmark)
 )"""
 FLAG_SQL = """NOT CASE WHEN p IS NULL THEN ss - s < 10 WHEN s < p.e AND e > p.s THEN abs(greatest(e, p.e) - p.se) < 10 AND ss - least(s, p.s) < 10 AND p.lines > 1 AND 0 < greatest(p.width, width)
   ELSE abs(p.e - p.se) < 10 AND ss - s < 10 AND p.lines > 1 AND abs(s - p.e) < greatest(p.width, width) END AS starts,
@@ -612,7 +644,7 @@ def paragraph_flags(spark, sf_dir):
     return rows.select("page", "idx", starts.alias("starts"), ends.alias("ends"))
 
 
-@query(rf"""WITH {BLOCKS_SQL}, h AS (SELECT *, CASE WHEN label IN ({quoted(labels.NOT_IN_MARKDOWN)}) THEN NULL
+@query(rf"""WITH {BLOCKS_SQL}, h AS (SELECT *, CASE WHEN label IN ({quoted(stated.NOT_IN_MARKDOWN)}) THEN NULL
   WHEN label = 'paragraph_title' THEN heading WHEN label = 'doc_title' THEN '# ' || replace(replace(content, '-' || chr(10), ''), chr(10), ' ')
   WHEN label = 'figure_title' THEN content WHEN label IN ('text', 'reference_content') THEN replace(replace(content, chr(10) || chr(10), chr(10)), chr(10), chr(10) || chr(10))
   WHEN label = 'abstract' THEN content WHEN label = 'content' THEN replace(replace(content, '-' || chr(10), '  ' || chr(10)), chr(10), '  ' || chr(10)) WHEN label IN ('image', 'chart', 'seal', 'formula') THEN '![](' || path || ')'
@@ -778,8 +810,8 @@ def manifest_resolve(spark, sf_dir):
 @query("""SELECT doc_id, CAST(generate_subscripts(string_split(regexp_replace(text, '\\n$', ''), chr(10)), 1) AS INTEGER) AS class_id, sha256(regexp_replace(unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))), '\\r$', '')) AS entry FROM documents""")
 def dictionary_scan(spark, sf_dir):
     """Every document read as a dictionary: an entry a line."""
-    rows = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n", -1)).alias("pos", "entry"))
-    return rows.select("doc_id", (F.col("pos") + 1).alias("class_id"), F.sha2(F.regexp_replace("entry", r"\r\z", ""), 256).alias("entry"))
+    rows = recognition.dictionary_rows(load(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("value")), False, ("doc_id",))
+    return rows.select("doc_id", "class_id", F.sha2("text", 256).alias("entry"))
 
 
 @query(f"""WITH {BOXES_SQL} SELECT CAST(page AS VARCHAR) AS doc_id, 0 AS page, '{{"schema_version":"pagewright/layout-result/v1","input":{{"id":"' || page || '","page_index":0,"width":300,"height":200}},"model":null,"regions":[' ||

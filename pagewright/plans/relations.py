@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import labels
+from pagewright.plans import stated
 from pagewright.session import load
 
 BOXES_SQL = f"""
@@ -19,7 +20,7 @@ numbered AS (
 ), boxes AS (
   SELECT page, idx, CAST((p * 37 + n * 11) % 160 AS DOUBLE) AS x1, CAST((s * 53 + n * 17) % 120 AS DOUBLE) AS y1,
          CAST((p * 37 + n * 11) % 160 + 40 + q * 7 % 60 AS DOUBLE) AS x2, CAST((s * 53 + n * 17) % 120 + 20 + p % 40 AS DOUBLE) AS y2,
-         CAST(score AS DOUBLE) AS score, ([{", ".join(f"'{x}'" for x in labels.LAYOUT)}])[CAST((p + idx) % 20 AS INTEGER) + 1] AS label
+         CAST(score AS DOUBLE) AS score, ([{", ".join(f"'{x}'" for x in stated.LAYOUT)}])[CAST((p + idx) % 20 AS INTEGER) + 1] AS label
   FROM numbered
 )"""
 
