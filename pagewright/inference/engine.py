@@ -9,10 +9,12 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -238,6 +240,33 @@ def detect_layout(pages: DataFrame, backend: Callable[[], Backend], side: int =
     return _pages(pages, DETECTIONS, work)
 
 
+def parse_images(pages: DataFrame, models: Callable[[], Models], layout: Callable[[], Backend], options: Options = Options(), regions: Callable[[], Backend] | None = None, tables: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
+    """Ordered blocks (doc_id, page, then grouped.PARSED, error) of pages, from their images: lines, layout, reconciliation and order.
+
+    tables: doc_id, page, idx, html of table blocks. A page that fails in any step gives one row with that error, the
+    first step's, and no block. What the models say is persisted, so that they run once; it is small beside the pages.
+    """
+    keys = ["doc_id", "page"]
+    lines, found = read_lines(pages, models, options).persist(), detect_layout(pages, layout, threshold=threshold).persist()
+    around = detect_layout(pages, regions, threshold=threshold, names=("region",)).persist() if regions is not None else None
+    steps = [lines, found, *([around] if around is not None else [])]
+    bad = reduce(DataFrame.unionByName, [s.where("error IS NOT NULL").select(*keys, F.struct(F.lit(k).alias("step"), "error").alias("e")) for k, s in enumerate(steps)])
+    bad = bad.groupBy(*keys).agg(F.min("e").alias("e")).select(*keys, F.col("e.error").alias("error"))
+    corner = lambda pick, c: pick(F.transform("quad", lambda p: p[c])).cast("double")
+    spans = lines.where("error IS NULL").select(*keys, F.col("pos").alias("idx"), corner(F.array_min, "x").alias("x1"), corner(F.array_min, "y").alias("y1"), corner(F.array_max, "x").alias("x2"), corner(F.array_max, "y").alias("y2"), "text", "score")
+    sound = pages.where("error IS NULL").select(*keys, F.col("w").cast("double").alias("w"), F.col("h").cast("double").alias("h")).join(bad, keys, "left_anti")
+    good = lambda rows: rows.where("error IS NULL").drop("error") if rows is not None else None
+    parsed = grouped.parse_pages(sound, good(found), spans, tables, good(around), keys=tuple(keys))
+    return parsed.unionByName(bad, allowMissingColumns=True)
+
+
+def image_markdown(pages: DataFrame, parsed: DataFrame, pretty: bool = False) -> DataFrame:
+    """(doc, markdown) of each image or document, from parse_images: its pages in order."""
+    keys = ("doc_id", "page")
+    made = markdown.page_markdown(markdown.blocks_of_parsed(parsed, pages, keys), pretty)
+    return markdown.document_markdown(made.select(F.col("page.doc_id").alias("doc"), F.col("page.page").alias("page"), "markdown", "starts", "ends"))
+
+
 ANGLES = (0, 90, 180, 270)
 
 

@@ -35,8 +35,8 @@ def classify(pages: DataFrame, backend: Callable[[], Backend], routes: tuple[str
     return _pages(pages, ROUTED, work)
 
 
-def structure_steps(pages: DataFrame, backend: Callable[[], Backend], classes: int, side: int = 512) -> DataFrame:
-    """STEPS of each table image for recognition.structure_decode: scores by class, and the cell's eight corner values scaled to the image as the padded square scales."""
+def structure_steps(pages: DataFrame, backend: Callable[[], Backend], classes: int, side: int = 512, padded: bool = True) -> DataFrame:
+    """STEPS of each table image for recognition.structure_decode: scores by class, and the cell's eight corner values scaled to the image: as the padded square scales, or, for models whose boxes are shares of the image, by its width and height."""
     made: list[Backend] = []
 
     def work(image: np.ndarray) -> list[tuple]:
@@ -44,7 +44,8 @@ def structure_steps(pages: DataFrame, backend: Callable[[], Backend], classes: i
             made.append(backend())
         run = Checked(made[0], (Contract("x", (1, 3, side, side)),), (Contract("boxes", (1, (1, 4096), 8)), Contract("scores", (1, (1, 4096), classes))))
         boxes, scores = run(pixels.table_structure_tensor(image, side))
-        scale = side / min(side / image.shape[1], side / image.shape[0])
+        h, w = image.shape[:2]
+        scale = side / min(side / w, side / h) if padded else np.array([w, h] * 4, float)
         return [(t, s.tolist(), (b.astype(float) * scale).tolist()) for t, (s, b) in enumerate(zip(scores[0], boxes[0]))]
 
     return _pages(pages, STEPS, work)

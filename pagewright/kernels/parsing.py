@@ -240,8 +240,11 @@ class Ordered:
     image_path: str | None
 
 
-def assemble(page: Reconciled, tables: list[str], hidden: tuple[str, ...] = labels.NOT_IN_MARKDOWN) -> list[Ordered]:
-    """Blocks of all regions in order. tables: html of the page's table blocks in turn; without any, tables get their spans' text."""
+def assemble(page: Reconciled, tables: list[str], hidden: tuple[str, ...] = labels.NOT_IN_MARKDOWN, left_out: list[Ordered] | None = None) -> list[Ordered]:
+    """Blocks of all regions in order. tables: html of the page's table blocks in turn; without any, tables get their spans' text.
+
+    Cuts may leave a block out of the order; such blocks are added to left_out, so that no text goes without a trace.
+    """
     made, contents, paths, n_table = [], [], [], 0
     for k, d in enumerate(page.blocks):
         b = Block(d.label, tuple(d.box), seg_start=math.inf, seg_end=-math.inf)
@@ -269,12 +272,21 @@ def assemble(page: Reconciled, tables: list[str], hidden: tuple[str, ...] = labe
     outer = Page([region_block(p) for p, _ in inner], tuple(floored_hull([list(p.frame) for p, _ in inner])))
     out: list[Ordered] = []
     numbered = [x for x in labels.NUMBERED if x not in hidden]
+    placed: set[tuple[int, int]] = set()
+
+    def block(r: int, k: int, index: int | None) -> Ordered:
+        b, own = inner[r][0].blocks[k], inner[r][1][k]
+        return Ordered(b.label, b.box, contents[own], index, b.lines, b.across, b.seg_start, b.seg_end, b.line_height, b.line_width, b.width, paths[own])
+
+    count = 0
     for r in outer.order():
-        part, ids = inner[r]
-        for k in part.order():
-            b = part.blocks[k]
-            index = 1 + sum(o.order_index is not None for o in out) if b.label in numbered else None
-            out.append(Ordered(b.label, b.box, contents[ids[k]], index, b.lines, b.across, b.seg_start, b.seg_end, b.line_height, b.line_width, b.width, paths[ids[k]]))
+        for k in inner[r][0].order():
+            shown = inner[r][0].blocks[k].label in numbered
+            count += shown
+            out.append(block(r, k, count if shown else None))
+            placed.add((r, k))
+    if left_out is not None:
+        left_out += [block(r, k, None) for r, (part, _) in enumerate(inner) for k in range(len(part.blocks)) if (r, k) not in placed]
     return out
 
 

@@ -215,6 +215,13 @@ def decode(content: bytes, jpeg=None) -> np.ndarray:
 # -- resizing ----------------------------------------------------------------------------------------------------------
 
 
+def opaque(rgba: np.ndarray) -> np.ndarray:
+    """Blue, green and red of premultiplied red, green, blue and alpha: divided by alpha, halves up, at most 255; black where alpha is 0."""
+    alpha = rgba[..., 3:].astype(np.uint32)
+    plain = np.minimum((rgba[..., 2::-1].astype(np.uint32) * 255 + alpha // 2) // np.maximum(alpha, 1), 255)
+    return np.where(alpha == 0, 0, plain).astype(np.uint8)
+
+
 def _half_even(values: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(values), 0, 255).astype(np.uint8)
 

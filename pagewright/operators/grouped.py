@@ -59,12 +59,14 @@ def cut_order(boxes: DataFrame, by_columns: bool = True, keys: tuple[str, ...] =
 
 
 def enhanced_order(blocks: DataFrame, pages: DataFrame, keys: tuple[str, ...] = ("page",)) -> DataFrame:
-    """(keys, pos, idx, label, role, error). blocks: keys, idx, label, box, lines, line_height, line_width; pages: keys, w, h."""
+    """(keys, pos, idx, label, role, error); a block that the cuts leave out has a null pos. blocks: keys, idx, label, box, lines, line_height, line_width; pages: keys, w, h."""
 
     def kernel(own: list[dict], w: float, h: float) -> list[tuple]:
         made = [page_order.Block(b["label"], tuple(b[c] for c in BOX), b["lines"], b["line_height"], b["line_width"]) for b in own]
         page = page_order.Page(made, (0, 0, w, h))
-        return [(pos, own[k]["idx"], made[k].label, made[k].role) for pos, k in enumerate(page.order())]
+        order = page.order()
+        lost = sorted(set(range(len(own))).difference(order))
+        return [(pos, own[k]["idx"], made[k].label, made[k].role) for pos, k in [*enumerate(order), *((None, k) for k in lost)]]
 
     rows = paged(blocks, list(keys), "idx", ("idx", "label", *BOX, "lines", "line_height", "line_width"), "blocks").join(pages.select(*keys, "w", "h"), list(keys))
     return run_pages(rows, list(keys), kernel, "pos int, idx bigint, label string, role string")
@@ -120,7 +122,7 @@ PARSED = "index int, label string, x1 bigint, y1 bigint, x2 bigint, y2 bigint, c
 
 
 def parse_pages(pages: DataFrame, layout: DataFrame, spans: DataFrame, tables: DataFrame | None = None, regions: DataFrame | None = None, recognize: parsing.Recognize | None = None, threshold: float = 0.0, keys: tuple[str, ...] = ("page",), hidden: tuple[str, ...] = labels.NOT_IN_MARKDOWN) -> DataFrame:
-    """Ordered blocks of each page (PARSED, error): detections and spans are reconciled, then assembled.
+    """Ordered blocks of each page (PARSED, error): detections and spans are reconciled, then assembled; a block that the order leaves out has a null index.
 
     pages: keys, w, h; layout and regions: keys, idx, label, box, score; spans: keys, idx, box, text, score; tables:
     keys, idx, html. recognize reads a rectangle anew and must be picklable; without one nothing is read anew.
@@ -137,8 +139,9 @@ def parse_pages(pages: DataFrame, layout: DataFrame, spans: DataFrame, tables: D
         detections = [parsing.Detection(r["label"], box(r), r["score"]) for r in found or []]
         around = [parsing.Detection(r["label"], box(r), r["score"]) for r in areas or []]
         page = parsing.reconcile((w, h), detections, around, [parsing.Span(box(r), r["text"], r["score"]) for r in own or []], read, threshold)
-        blocks = parsing.assemble(page, [t["html"] for t in html or []], hidden)
-        return [(k, b.label, *b.box, b.content, b.order_index, b.lines, b.horizontal, b.seg_start, b.seg_end, b.line_height, b.line_width, b.width, b.image_path) for k, b in enumerate(blocks)]
+        lost: list[parsing.Ordered] = []
+        blocks = parsing.assemble(page, [t["html"] for t in html or []], hidden, lost)
+        return [(k, b.label, *b.box, b.content, b.order_index, b.lines, b.horizontal, b.seg_start, b.seg_end, b.line_height, b.line_width, b.width, b.image_path) for k, b in [*enumerate(blocks), *((None, b) for b in lost)]]
 
     return run_pages(rows, keys, kernel, PARSED)
 

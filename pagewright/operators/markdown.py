@@ -67,6 +67,17 @@ def continuation(block: Column, before: Column) -> tuple[Column, Column]:
 GEOMETRY = ("start", "end", "seg_start", "seg_end", "lines", "width")
 
 
+def blocks_of_parsed(parsed: DataFrame, sizes: DataFrame, keys: tuple[str, ...] = ("page",)) -> DataFrame:
+    """What page_markdown takes, from grouped.parse_pages and the pages' sizes (keys, w, h); keys become the struct page. Blocks along the page's direction: from left to right, or from top to bottom."""
+    rows = parsed.where("error IS NULL AND index IS NOT NULL").join(sizes.select(*keys, F.col("w").alias("page_width")), list(keys))
+    side = lambda across, along: F.when(F.col("horizontal"), F.col(across)).otherwise(F.col(along)).cast("double")
+    page = F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)
+    return rows.select(
+        page.alias("page"), F.col("index").alias("idx"), "label", "content", "image_path", (F.col("x2") - F.col("x1")).alias("box_width"), "page_width",
+        side("x1", "y1").alias("start"), side("x2", "y2").alias("end"), "seg_start", "seg_end", "lines", "width",
+    )
+
+
 def page_markdown(blocks: DataFrame, pretty: bool = False, tables: bool = True, ignore: tuple[str, ...] = labels.NOT_IN_MARKDOWN) -> DataFrame:
     """(page, markdown, starts, ends): the page's handled blocks in order.
 

@@ -720,10 +720,7 @@ def parsed_pages(spark, sf_dir):
 @query()
 def parsed_markdown(spark, sf_dir):
     """Pages parsed and written as Markdown."""
-    rows = parsed_pages(spark, sf_dir).where("error IS NULL")
-    start, end = F.when(F.col("horizontal"), F.col("x1")).otherwise(F.col("y1")), F.when(F.col("horizontal"), F.col("x2")).otherwise(F.col("y2"))
-    blocks = rows.select("page", F.col("index").alias("idx"), "label", "content", "image_path", (F.col("x2") - F.col("x1")).alias("box_width"), F.lit(300).alias("page_width"), start.cast("double").alias("start"), end.cast("double").alias("end"), "seg_start", "seg_end", "lines", "width")
-    return markdown.page_markdown(blocks)
+    return markdown.page_markdown(markdown.blocks_of_parsed(parsed_pages(spark, sf_dir), pages_of(spark, sf_dir)))
 
 
 def score_maps(spark, sf_dir):

@@ -12,7 +12,7 @@ from pagewright import __main__ as cli
 from pagewright.inference import engine
 from pagewright.inference.backend import Budget, Checked, Contract, ContractError, Stub, verify
 from pagewright.kernels import pixels
-from pagewright.operators import output, planning, recognition
+from pagewright.operators import folds, metrics, output, planning, profiles, recognition
 from pagewright.sources import documents, images, manifest
 from pagewright.streaming import events
 
@@ -173,6 +173,66 @@ def test_layout_detection(spark):
         engine.decode_detections(np.array([[99, 0.9, 0, 0, 1, 1]]), ("a",), 0.5)
 
 
+def page_of(*bars, w=160, h=96):
+    page = np.zeros((h, w, 3), np.uint8)
+    for x1, y1, x2, y2 in bars:
+        page[y1:y2, x1:x2] = 255
+    return page
+
+
+def test_image_to_markdown(spark):
+    """From images to blocks and Markdown in one call: lines are put into layout blocks, in order; a page that fails gives its error alone."""
+    p = page_of((10, 8, 150, 24), (10, 60, 60, 76))
+    pages = spark.createDataFrame([("d", 0, 160, 96, p.tobytes(), None), ("d", 1, 160, 96, p.tobytes(), None), ("e", 0, 160, 96, p.tobytes(), None), ("f", 0, None, None, None, ("malformed", "file", ""))], images.PAGES)
+    rows = np.array([[2, 0.9, 0, 50, 160, 90], [10, 0.8, 0, 0, 160, 40]], np.float32)  # a text below a document's title
+    parsed = engine.parse_images(pages, models, lambda: Stub(lambda im_shape, image, scale_factor: rows)).cache()
+    own = {(d, k): [(r["label"], r["content"]) for r in parsed.where((F.col("doc_id") == d) & (F.col("page") == k) & F.col("error").isNull()).orderBy("index").collect()] for d, k in (("d", 0), ("d", 1), ("e", 0), ("f", 0))}
+    assert [x[0] for x in own["d", 0]] == ["doc_title", "text"] and own["d", 0] == own["d", 1] == own["e", 0] and own["f", 0] == []
+    assert all(set(text.strip()) <= {"a", "b"} and text for _, text in own["d", 0])
+    assert [(r["doc_id"], r["error"]) for r in parsed.where("error IS NOT NULL").collect()] == [("f", "malformed: file")]
+    said = {r["doc"]: r["markdown"] for r in engine.image_markdown(pages, parsed).collect()}
+    title, text = (x[1].strip() for x in own["d", 0])
+    assert set(said) == {"d", "e"} and [line.strip() for line in said["e"].split("\n") if line] == [f"# {title}", text] and said["d"].count(f"# {title}") == 2
+    late = engine.parse_images(pages, models, lambda: Stub(lambda im_shape, image, scale_factor: rows), engine.Options(control=engine.Control(seconds=0)))
+    assert {r["error"] for r in late.collect()} == {"out of time before detector", "malformed: file"}
+    with pytest.raises(ValueError):
+        engine.Options(least_score=float("nan"))
+
+
+def test_premultiplied():
+    rgba = np.array([[[10, 20, 30, 255], [10, 20, 30, 0], [100, 50, 1, 128], [200, 0, 3, 100]]], np.uint8)
+    assert pixels.opaque(rgba)[0].tolist() == [[30, 20, 10], [0, 0, 0], [2, 100, 199], [8, 0, 255]]
+
+
+def test_pages_beyond_the_usual(spark):
+    """A chain that grows box by box, an axis that is too long, a class that no dictionary has, and overlaps among many boxes."""
+    chain = spark.createDataFrame([(1, k, 10.0 * k, 0.0, 10.0 * k + 28.0, 10.0, 0.5, "text") for k in range(200)], "page long, idx long, x1 double, y1 double, x2 double, y2 double, score double, label string")
+    assert folds.grow_region(chain, chain.where("idx = 0")).count() == 200
+    far = chain.unionByName(chain.where("idx = 0").withColumns({"page": F.lit(2).cast("long"), "x2": F.lit(2e6)}))
+    rows = profiles.projection(far)
+    assert [(r["page"], r["n"], r["error"]) for r in rows.where("error IS NOT NULL").collect()] == [(2, None, "an extent of 2000000 is above 1000000")]
+    assert rows.where("page = 1 AND error IS NULL").count() == 2018 and profiles.local_minima(rows).where("page = 2").count() == 0
+    steps = spark.createDataFrame([("k", 0, [0.1, 0.9, 0.0]), ("k", 1, [0.0, 0.1, 0.9]), ("l", 0, [0.1, 0.9, 0.0])], "id string, t int, scores array<float>")
+    got = {r["id"]: (r["text"], r["error"]) for r in recognition.ctc_decode(steps, spark.createDataFrame([(1, "a")], "class_id int, text string"), "id").collect()}
+    assert got == {"k": (None, "class 2 is unknown"), "l": ("a", None)}
+    rng = np.random.default_rng(3)
+    corner = rng.integers(0, 400, (150, 2))
+    size = rng.integers(5, 90, (150, 2))
+    boxes = [(k, *map(float, (*corner[k], *(corner[k] + size[k]))), "image" if k % 7 == 0 else "text") for k in range(150)]
+    gone = set()
+    for i, a in enumerate(boxes):
+        for b in boxes[i + 1 :]:
+            w, h = min(a[3], b[3]) - max(a[1], b[1]), min(a[4], b[4]) - max(a[2], b[2])
+            area = lambda x: (x[3] - x[1]) * (x[4] - x[2])
+            if a[0] not in gone and b[0] not in gone and w > 0 and h > 0 and w * h / min(area(a), area(b)) > 0.5:
+                image = (a[5] == "image", b[5] == "image")
+                gone.add(a[0] if image == (True, False) or (image != (False, True) and area(a) <= area(b)) else b[0])
+    frame = spark.createDataFrame([(1, *b[:5], 0.5, b[5]) for b in boxes], chain.schema)
+    assert {r["idx"] for r in folds.drop_overlaps(frame).collect()} == set(range(150)) - gone and len(gone) > 20
+    texts = spark.createDataFrame([("aé日!",), ("ßß",), (None,), ("",), ("\U0001f600 \u2003",)], "value string")
+    assert [tuple(r) for r in metrics.script_census(texts, "value").collect()] == [("ASCII", 3, 1), ("Latin", 3, 2), ("Punctuation", 1, 3), ("CJK Unified", 1, 4), ("Emoji", 1, 5)]
+
+
 def test_documents(spark):
     assert list(documents.page_range(5, 2)) == [2, 3, 4] and list(documents.page_range(5, 3, 9)) == [3, 4] and list(documents.page_range(5, 1, 2)) == [1, 2]
     for bad in ((0,), (5, 5), (5, 0, 0), (5000,)):
