@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import byte_bpe, decontamination, ngram_join, pii, toxicity
-from pagewright.llm.common import table, written
+from pagewright.llm.common import forget, table, written
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage; what a stage wrote goes when the next one has read it."""
+    docs, earlier = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if earlier is not None:
+            forget(earlier)
+        earlier = docs
     return STAGES[-1][1](spark, docs, sf_dir)
