@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import written
+from pagewright.llm.common import forget, written
 
 ROUNDS = 100
 
@@ -32,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        stars = written(small, "edges")
+        before, stars = stars, written(small, "edges")
+        forget(before)
     else:
         raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
     roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
