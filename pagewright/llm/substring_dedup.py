@@ -25,7 +25,7 @@ from pagewright.llm.ngram_join import MIX1, MIX2, mix, powers
 
 #: A word starts a chunk with this probability; a chunk has this many words at least.
 CUT = 1 / 4
-LEAST_WORDS = 16
+LEAST_WORDS = 24
 #: A passage of this many words holds a chunk, or is one.
 SURE_WORDS = 51
 WINDOW = 32
@@ -127,8 +127,8 @@ def occurrences(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([field("d1", T.LongType()), field("d2", T.IntegerType()), field("doc", rows.schema["doc"].dataType), field("start", T.IntegerType()), field("words", T.IntegerType()), field("again", T.BooleanType())]))
 
 
-def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n_words, spans, first_docs) for each document that repeats passages of others, or of itself.
+def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", within: bool = False) -> DataFrame:
+    """(id, n_words, spans, first_docs) for each document that repeats passages of others, or also, if asked, of itself (within).
 
     spans: [first word, end word) in order, merged; n_words: words in them; first_docs: the ids that keep those
     passages, ascending. The document with a passage's smallest id keeps it (its first occurrence there), so a document
@@ -140,7 +140,7 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     """
     found = occurrences(docs, id_column, text_column)
     first = found.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min("doc").alias("first")).where("n > 1").select("d1", "d2", "first")
-    hits = found.join(first, ["d1", "d2"]).where("again OR doc <> first")
+    hits = found.join(first, ["d1", "d2"]).where("again OR doc <> first" if within else "doc <> first")
     hits = hits.select("doc", "start", (F.col("start") + F.col("words")).alias("end"), "first")
     # chunks that overlap or touch make one span; a document's chunks are sorted, never held together
     by = Window.partitionBy("doc").orderBy("start", "end")
@@ -151,7 +151,7 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     return spans.select(F.col("doc").alias(id_column), F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_words"), "spans", "first_docs")
 
 
-def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length_column: str = "n_chars") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length_column: str = "n_chars", within: bool = False) -> DataFrame:
     """docs without the repeated passages, length_column (if there) set anew; a document left without words goes.
 
     Rows without an id, and null, empty and short texts stay as they are; rows that repeat an id all lose its spans; an
@@ -159,7 +159,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     key = free_name(docs.columns, "doc")
     cuts = free_name([*docs.columns, key], "spans")
-    spans = repeats(docs, id_column, text_column).select(F.col(id_column).alias(key), F.transform("spans", lambda s: F.array(s["start"], s["end"])).alias(cuts))
+    spans = repeats(docs, id_column, text_column, within).select(F.col(id_column).alias(key), F.transform("spans", lambda s: F.array(s["start"], s["end"])).alias(cuts))
     joined = docs.join(spans, docs[id_column] == spans[key], "left").select(*[docs[c] for c in docs.columns], spans[cuts])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

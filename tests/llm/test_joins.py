@@ -7,6 +7,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pagewright.llm import ngram_join, pq_dedup, queries
 from pagewright.llm.components import components
@@ -86,7 +87,21 @@ def test_ngram_join_groups(spark, monkeypatch):
     assert kept == {d for d, _, c in want if d == c}
     odd = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "A b c"), (None, "a b c"), (None, None)], "doc_id long, text string")
     assert key(ngram_join.links(odd).collect()) == key([(1, 1, 1, 1), (1, 1, 1, 1), (2, 1, 1, 1), (None, 0, None, None), (None, 0, None, None)])
-    assert ngram_join.links(frame.limit(0)).count() == 0 and ngram_join.deduplicate(odd).count() == 4
+    mixed = spark.createDataFrame([(5, "a b c"), (5, "x y z"), (4, "x, y z"), (4, "x, y z"), (6, "A b c"), (None, "a b c"), (7, None), (7, None)], "doc_id long, text string").withColumn("key", F.lit("k"))
+    assert key(ngram_join.links(mixed).collect()) == key([(5, 1, 5, 5), (5, 1, 4, 4), (4, 1, 4, 4), (4, 1, 4, 4), (6, 1, 5, 5), (None, 0, None, None), (7, 0, 7, 7), (7, 0, 7, 7)])
+    assert key((r["doc_id"], (r["text"] or "")[:1].lower()) for r in ngram_join.deduplicate(mixed).collect()) == key([(5, "a"), (4, "x"), (None, "a"), (7, ""), (7, "")])
+    assert ngram_join.links(frame.limit(0)).count() == 0 and ngram_join.deduplicate(odd).count() == 3
+
+
+def test_banding():
+    """Bands and rows follow from the recall and from the share of unlike pairs that may meet."""
+    for threshold, recall in ((0.8, 0.9999), (0.8, 0.9), (0.5, 0.99), (0.95, 0.999), (1.0, 0.99)):
+        bands, rows = ngram_join.banding(threshold, recall)
+        meet = lambda s, b, r: 1 - (1 - s**r) ** b
+        assert meet(threshold, bands, rows) >= recall - 1e-12 and meet(threshold / 2, bands, rows) <= ngram_join.UNLIKE
+        assert bands == 1 or meet(threshold, bands - 1, rows) < recall
+        assert rows == 1 or meet(threshold / 2, math.ceil(math.log1p(-recall) / math.log1p(-min(threshold ** (rows - 1), 1 - 1e-12))), rows - 1) > ngram_join.UNLIKE
+    assert ngram_join.banding(0.8, 0.9999) == (24, 5)
 
 
 def test_ngrams():

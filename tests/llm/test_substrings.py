@@ -38,7 +38,7 @@ def slow_chunks(text):
     return out
 
 
-def slow_repeats(docs):
+def slow_repeats(docs, within=False):
     where = {}
     for doc, text in sorted((d for d in docs if d[0] is not None), key=lambda d: d[0]):
         for (a, b), chunk in slow_chunks(text).items():
@@ -46,6 +46,8 @@ def slow_repeats(docs):
     out = {}
     for found in where.values():
         for doc, a, b in found[1:]:
+            if doc == found[0][0] and not within:
+                continue
             words, firsts = out.setdefault(doc, (set(), set()))
             words |= set(range(a, b))
             firsts.add(found[0][0])
@@ -75,11 +77,12 @@ def test_planted_passages(spark):
     docs += [(200, say(400)), (201, None), (202, ""), (203, "short text"), (204, "short text"), (None, passages[0]), (205, passages[0]), (206, " ".join([passages[1]] * 3))]
     docs += [(207, "A common line of some thirteen words, which very many of the documents share.\n" + say(30)), (208, say(20) + " a common line of some thirteen words which very many of the documents share")]
     frame = spark.createDataFrame([(*d, len(d[1] or ""), "x") for d in docs], "doc_id long, text string, n_chars int, d1 string")
-    got = as_sets(substring_dedup.repeats(frame).collect())
-    assert got == slow_repeats(docs)
+    assert as_sets(substring_dedup.repeats(frame).collect()) == slow_repeats(docs)
+    got = as_sets(substring_dedup.repeats(frame, within=True).collect())
+    assert got == slow_repeats(docs, within=True)
     caught = {k for k in range(40, 80) if k in got and got[k][2] == [k - 40]}
     assert len(caught) >= 39 and not {*range(40), 200, 207, 208} & set(got) and 205 in got
-    clean = {r["doc_id"]: r for r in substring_dedup.remove_repeats(frame).collect()}
+    clean = {r["doc_id"]: r for r in substring_dedup.remove_repeats(frame, within=True).collect()}
     assert clean[200]["text"] == docs[80][1] and 201 in clean and len(words_of(clean[206]["text"])) < 180
     one = clean[min(caught)]
     assert len(words_of(one["text"])) == len(words_of(docs[min(caught)][1])) - got[min(caught)][0] and one["n_chars"] == len(one["text"])
@@ -138,6 +141,7 @@ def test_many_repeats_in_one_text(spark):
     passages = [" ".join(f"w{rng.randrange(9000)}" for _ in range(60)) for _ in range(20)]
     long = " ".join(passages[k % 20] + (f" x{k}" if k % 2 else "") for k in range(3_300))
     frame = spark.createDataFrame([(1, " stop ".join(passages)), (2, long), (3, "one " * 50_000), (4, "two " + "one " * 50_000)], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in substring_dedup.repeats(frame).collect()}
+    assert {r["doc_id"]: r["first_docs"] for r in substring_dedup.repeats(frame).collect()} == {2: [1], 4: [3]}
+    got = {r["doc_id"]: r for r in substring_dedup.repeats(frame, within=True).collect()}
     assert set(got) == {2, 4} and got[2]["n_words"] > 150_000 and got[2]["first_docs"] == [1, 2] and got[4]["n_words"] > 49_000
     assert all(a["end"] < b["start"] for a, b in zip(got[2]["spans"], got[2]["spans"][1:]))
