@@ -15,14 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import WORD_BYTES, slices, written
+from pagewright.llm.common import WORD_BYTES, free_name, slices, written
 from pagewright.llm.components import components
 
 WORDS = 5
 THRESHOLD = 0.8
-ROWS = 5
-#: Share of the pairs right at the threshold that meet in some band.
-RECALL = 0.9999
+#: Share of the pairs right at the threshold that meet in some band, and the greatest one of pairs half as similar.
+RECALL, UNLIKE = 0.9999, 0.25
 #: Members and n-grams of one chunk of a bucket; a block holds two chunks.
 CHUNK_MEMBERS = 1_024
 CHUNK_NGRAMS = 1_000_000
@@ -31,9 +30,13 @@ SLICE = 1 << 20
 MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def bands_for(threshold: float, rows: int, recall: float) -> int:
-    """The least number of bands of so many rows by which pairs at the threshold meet with the given probability."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
+def banding(threshold: float, recall: float, unlike: float = UNLIKE) -> tuple[int, int]:
+    """(bands, rows of each): the fewest rows, thus the fewest hashes, by which pairs at the threshold meet with the probability recall and pairs half as similar with that of unlike at most."""
+    for rows in range(1, 65):
+        bands = max(1, math.ceil(math.log1p(-recall) / math.log1p(-min(threshold**rows, 1 - 1e-12))))
+        if 1 - (1 - (threshold / 2) ** rows) ** bands <= unlike:
+            break
+    return bands, rows
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -96,7 +99,7 @@ def ngrams(texts: list[str | None], n: int = WORDS) -> tuple[np.ndarray, np.ndar
 
 
 class MinHash:
-    def __init__(self, bands: int, rows: int = ROWS, seed: int = 1):
+    def __init__(self, bands: int, rows: int, seed: int = 1):
         rng = np.random.default_rng(seed)
         self.bands, self.rows = bands, rows
         self.times = rng.integers(0, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -111,11 +114,11 @@ class MinHash:
         return mix(out + np.arange(self.bands, dtype=np.uint64) * MIX2)
 
 
-def signatures(docs: DataFrame, id_column: str, text_column: str, bands: int) -> DataFrame:
+def signatures(docs: DataFrame, id_column: str, text_column: str, bands: int, band_rows: int) -> DataFrame:
     """(id, n, d1, d2, bands): size, 128-bit digest and band hashes of each text's n-gram set; n is 0 without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        minhash = MinHash(bands)
+        minhash = MinHash(bands, band_rows)
         for batch in slices(batches, "text", SLICE):
             gram, own = ngrams(batch.column(1).to_pylist())
             texts, first, n = np.unique(own, return_index=True, return_counts=True)
@@ -158,8 +161,11 @@ def verify(members: list[dict], threshold: float) -> Iterator[tuple[int, int, in
         dense = np.zeros((k, slab), np.float32)
         dense[own[a:b], col[a:b] - low] = 1
         inter += dense @ dense.T
-    inter = inter.astype(np.float64)
-    link = inter >= threshold * (size[:, None] + size[None, :] - inter) - 1e-9
+    link = np.zeros((k, k), bool)
+    for at in range(0, k, 256):
+        part = inter[at : at + 256].astype(np.float64)
+        link[at : at + 256] = part >= threshold * (size[at : at + 256, None] + size[None, :] - part) - 1e-9
+    del inter
     if cross:
         link &= side[:, None] != side[None, :]
     np.fill_diagonal(link, False)
@@ -173,7 +179,8 @@ def verify(members: list[dict], threshold: float) -> Iterator[tuple[int, int, in
     links = link @ copies[linked]
     peer = rep[linked].copy()
     while True:
-        least = np.minimum(peer, np.where(link, peer[None, :], np.iinfo(np.int64).max).min(1))
+        least = np.concatenate([np.where(link[at : at + 256], peer[None, :], np.iinfo(np.int64).max).min(1) for at in range(0, len(link), 256)])
+        least = np.minimum(peer, least)
         if (least == peer).all():
             break
         peer = least
@@ -212,15 +219,14 @@ def links(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
     n_links counts the other documents whose Jaccard similarity is the threshold or more, copies included; class_id is
     the smallest id that links reach, rep_id the smallest id with the same n-grams. Texts without words (null, empty)
-    link with nothing; rows with a null id link with nothing and have no class. Rows that repeat an id are one document,
-    whose text is the greatest of theirs. The id must be an integer. Other columns are not read.
+    link with nothing; rows with a null id link with nothing and have no class. Equal rows of one id are one document;
+    rows of one id with different texts are documents of their own, which link like others. The id must be an integer.
+    Other columns are not read; an empty table has no rows.
     """
-    bands = bands_for(threshold, ROWS, recall)
-    made = written(signatures(docs, id_column, text_column, bands), "ngram-signatures")
+    bands, band_rows = banding(threshold, recall)
+    made = written(signatures(docs, id_column, text_column, bands, band_rows), "ngram-signatures")
     if made.where("id IS NOT NULL").groupBy("id").count().where("count > 1").limit(1).count():
-        rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-        once = links(rows.where("id IS NOT NULL").groupBy("id").agg(F.max("text").alias("text")), "id", "text", threshold, recall)
-        return rows.select("id").join(once, "id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long"))).withColumnRenamed("id", id_column)
+        return _repeated(docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")), threshold, recall).withColumnRenamed("id", id_column)
     ids = made.where("id IS NOT NULL AND n > 0")
     reps = written(ids.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")), "ngram-classes")
     spread = reps.select("rep", "n", F.posexplode("bands").alias("band", "h"))
@@ -246,7 +252,29 @@ def links(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     return known.unionByName(alone).withColumnRenamed("id", id_column)
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs of which one of each class stays, that with the smallest id; rows without an id or without words stay."""
-    gone = links(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def _repeated(rows: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """links() of (id, text) where ids repeat: the different rows are numbered, and the numbers link."""
+    nodes = written(rows.where("id IS NOT NULL").distinct().withColumn("node", F.monotonically_increasing_id()), "ngram-nodes")
+    once = written(links(nodes, "node", "text", threshold, recall), "ngram-once")
+    least = lambda c: once.join(nodes, "node").groupBy(F.col(c).alias("of")).agg(F.min("id").alias("least"))
+    for c in ("class_id", "rep_id"):
+        named = least(c)
+        once = once.join(named, once[c] == named["of"]).drop(c, "of").withColumnRenamed("least", c)
+    own = nodes.join(once, "node").select(F.col("id").alias("id_"), F.col("text").alias("text_"), "n_links", "class_id", "rep_id")
+    out = rows.join(own, (F.col("id") == F.col("id_")) & F.col("text").eqNullSafe(F.col("text_")), "left")
+    return out.select("id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "class_id", "rep_id")
+
+
+def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """docs of which one row of each class stays: of those with the smallest id, any one. Rows without an id or without words stay. Other columns pass through, whatever their names."""
+    ids = docs.where(F.col(id_column).isNotNull()).groupBy(id_column).count()
+    if not ids.where("count > 1").limit(1).count():
+        gone = links(docs, id_column, text_column).where(F.col(id_column) != F.col("class_id"))
+        return docs.join(gone.select(id_column).distinct(), id_column, "left_anti").select(*docs.columns)
+    key = free_name(docs.columns, "key")
+    keyed = written(docs.withColumn(key, F.monotonically_increasing_id()), "ngram-rows")
+    own = keyed.where(F.col(id_column).isNotNull()).select(F.col(key).alias("node"), F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    once = written(links(own, "node", "text").select("node", "class_id").join(own.select("node", "id"), "node"), "ngram-once")
+    first = once.groupBy("class_id").agg(F.min(F.struct("id", "node")).alias("first"))
+    gone = once.join(first, "class_id").where("node <> first.node").select(F.col("node").alias(key))
+    return keyed.join(gone, key, "left_anti").select(*docs.columns)
