@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -147,42 +148,70 @@ def merged(spans: Iterable) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def item_groups(benchmark: DataFrame, item_column: str, text_column: str, max_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items in groups of about max_words words, each read on its own; a null id counts as the empty string."""
-    rows = benchmark.select(F.coalesce(F.col(item_column).cast("string"), F.lit("")).alias("item"), F.col(text_column).cast("string").alias("text"))
-    size = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    groups = max(1, math.ceil(size / 2 / max_words))  # a word and its separator take two characters at least
-    for k in range(groups):
-        part = rows if groups == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(groups)) == k)
-        yield [(r["item"], words_of(r["text"])) for r in part.toLocalIterator()]
+class Items:
+    """A benchmark's items in groups of about max_words words, each read on its own; a null id counts as the empty string."""
+
+    def __init__(self, benchmark: DataFrame, item_column: str, text_column: str, max_words: int):
+        self.rows = benchmark.select(F.coalesce(F.col(item_column).cast("string"), F.lit("")).alias("item"), F.col(text_column).cast("string").alias("text"))
+        size = self.rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+        self.groups = max(1, math.ceil(size / 2 / max_words))  # a word and its separator take two characters at least
+
+    def __iter__(self) -> Iterator[list[tuple[str, list[bytes]]]]:
+        for k in range(self.groups):
+            part = self.rows if self.groups == 1 else self.rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(self.groups)) == k)
+            yield [(r["item"], words_of(r["text"])) for r in part.toLocalIterator()]
 
 
 HITS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("items", T.ArrayType(T.StringType()))])
 ARROW_HITS = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))])
 
 
-def with_hits(rows: DataFrame, benchmark: DataFrame, name: str, text_column: str = "text", item_column: str = "item_id", item_text: str = "text", window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
-    """rows and a column of that name: n_words, marked word ranges and the items whose windows occur. Items beyond max_words words are matched by further passes over a written table."""
-    last, rows = None, rows.withColumn(name, F.lit(None).cast(HITS))
-    for items in item_groups(benchmark, item_column, item_text, max_words):
-        if last is not None:
-            rows = written(last, "decontamination")
-        machine = rows.sparkSession.sparkContext.broadcast(SuffixAutomaton(items, window))  # bounded by max_words
+def scanned(texts: DataFrame, machine, every: bool) -> DataFrame:
+    """(key, hits) of (key, text) by a broadcast automaton; only of rows with hits, if not every."""
 
-        def scan(batches: Iterator[pa.RecordBatch], machine=machine) -> Iterator[pa.RecordBatch]:
-            automaton = machine.value
-            for batch in slices(batches, text_column):
-                at, to, out = batch.schema.get_field_index(text_column), batch.num_columns - 1, []
-                for text, old in zip(batch.column(at).to_pylist(), batch.column(to).to_pylist()):
-                    words = words_of(text)
-                    spans, found = automaton.match(words)
-                    if old:
-                        spans, found = merged([*spans, *map(tuple, old["spans"])]), found | set(old["items"])
-                    out.append({"n_words": len(words), "spans": spans, "items": sorted(found)})
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, ARROW_HITS)], names=batch.schema.names)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = machine.value
+        for batch in slices(batches, "text"):
+            out = []
+            for text in batch.column(1).to_pylist():
+                words = words_of(text)
+                spans, found = automaton.match(words)
+                out.append({"n_words": len(words), "spans": spans, "items": sorted(found)})
+            made = pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, ARROW_HITS)], names=["key", "hits"])
+            yield made if every else made.filter(pa.array([bool(h["spans"]) for h in out], pa.bool_()))
+
+    return texts.mapInArrow(scan, T.StructType([texts.schema["key"], T.StructField("hits", HITS)]))
+
+
+def joined_hits(found: DataFrame) -> DataFrame:
+    """One row for each key of (key, hits): ranges merged, items in order."""
+    one = found.groupBy("key").agg(F.max("hits.n_words").alias("n_words"), F.flatten(F.collect_list("hits.spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits.items")))).alias("items"))
 
-        last = rows.mapInArrow(scan, rows.schema)
-    return last
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [{"n_words": n, "spans": merged(s), "items": i} for n, s, i in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, ARROW_HITS)], names=["key", "hits"])
+
+    return one.mapInArrow(run, T.StructType([found.schema["key"], T.StructField("hits", HITS)]))
+
+
+def with_hits(rows: DataFrame, items: Items, name: str, text_column: str = "text", window: int = WINDOW) -> DataFrame:
+    """rows and a column of that name: n_words, marked word ranges and the items whose windows occur.
+
+    For items of several automata: there are as many passes over the rows, which are written once, with a number; each
+    pass writes hits alone, and they are joined to the rows at the end.
+    """
+    key = free_name([*rows.columns, name], "key")
+    spark = rows.sparkSession
+    rows = written(rows.withColumn(key, F.monotonically_increasing_id()), "decontamination")
+    texts = rows.select(F.col(key).alias("key"), F.col(text_column).cast("string").alias("text"))
+    parts = []
+    for k, group in enumerate(items):
+        machine = spark.sparkContext.broadcast(SuffixAutomaton(group, window))
+        parts.append(written(scanned(texts, machine, not k), "decontamination-hits"))
+        machine.unpersist()
+    found = joined_hits(reduce(DataFrame.unionByName, parts)).select(F.col("key").alias(key), F.col("hits").alias(name))
+    return rows.join(found, key).drop(key)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
@@ -191,9 +220,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     Null and empty texts have no words and no hits; repeated rows and null ids are kept; an empty benchmark marks
     nothing.
     """
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    found = with_hits(rows, benchmark, "hits", "text", item_column, item_text, window, max_words)
-    return found.select(F.col("id").alias(id_column), F.col("hits").alias(free_name([id_column], "hits")))
+    items = Items(benchmark, item_column, item_text, max_words)
+    rows = docs.select(F.col(id_column).alias("key"), F.col(text_column).cast("string").alias("text"))
+    if items.groups == 1:
+        found = scanned(rows, docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(next(iter(items)), window)), True)  # bounded by max_words
+    else:
+        found = with_hits(rows, items, "hits", "text", window)
+    return found.select(F.col("key").alias(id_column), F.col("hits").alias(free_name([id_column], "hits")))
 
 
 def marked_words(hits) -> Column:
@@ -241,17 +274,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_column: str = "tex
     cut texts. Other columns pass through, whatever their names; null texts stay.
     """
     name = free_name(docs.columns, "hits")
+    items = Items(benchmark, "item_id", "text", max_words)
+    if items.groups == 1:
+        machine = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(next(iter(items)), window))
+        return _cut_by(docs, text_column, length_column, coverage, lambda words: machine.value.match(words)[0])
     rows = docs
-    for items in item_groups(benchmark, "item_id", "text", max_words):
-        if rows is not docs:
-            break  # more than one automaton: shares are known only after all of them
-        machine = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(items, window))
-        rows = _cut_by(docs, text_column, length_column, coverage, lambda words, machine=machine: machine.value.match(words)[0])
-    else:
-        return rows
-    rows = docs
-    while True:
-        found = written(with_hits(rows, benchmark, name, text_column, window=window, max_words=max_words), "decontaminated")
+    while True:  # more than one automaton: shares are known only after all of them
+        found = written(with_hits(rows, items, name, text_column, window), "decontaminated")
         if not found.where(over_limit(F.col(name), coverage)).limit(1).count():
             return found.select(*docs.columns)
         rows = _cut_by(found, text_column, length_column, coverage, None, name).select(*docs.columns)
