@@ -89,7 +89,12 @@ def text_lines(lines: DataFrame, named: bool) -> DataFrame:
     return lines.select("doc_id", "page", "pos", F.concat_ws("\t", *([F.col("doc_id")] if named else []), *cells).alias("value"))
 
 
+def outcomes(pages: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, recognized, failed, status): pages without and with an error; status is 0 if no page has one, 1 if some have, 2 if all have or there is none."""
+    n = pages.groupBy(*keys).agg(F.count_if(F.col("error").isNull()).alias("recognized"), F.count("error").alias("failed"))
+    return n.withColumn("status", F.when(F.col("recognized") == 0, 2).when(F.col("failed") > 0, 1).otherwise(0))
+
+
 def exit_status(pages: DataFrame) -> int:
-    """0 if no page has an error, 1 if some have, 2 if all have or there is none."""
-    n = pages.agg(F.count("*").alias("all"), F.count("error").alias("bad")).first()
-    return 0 if n["all"] and not n["bad"] else 1 if n["all"] > n["bad"] else 2
+    """The status of all pages together."""
+    return outcomes(pages).first()["status"]

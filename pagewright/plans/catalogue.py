@@ -819,6 +819,68 @@ def layout_json(spark, sf_dir):
     return output.layout_documents(found, sizes)
 
 
+def result_sql(kind: str, key: str, item: str) -> str:
+    """A page's result as JSON, with the items in order."""
+    head = f"""'{{"schema_version":"pagewright/{kind}-result/v1","input":{{"id":"' || page || '","page_index":0,"width":300,"height":200}},"model":null,"{key}":['"""
+    return f"WITH {BOXES_SQL}, t AS (SELECT *, label || ' \"' || idx || chr(10) AS said FROM boxes) SELECT CAST(page AS VARCHAR) AS doc_id, 0 AS page, {head} || string_agg({item}, ',' ORDER BY idx) || ']}}' AS json FROM t GROUP BY page"
+
+
+def results_of(spark, sf_dir):
+    """Boxes as a page's results, texts with a quote and a line break, and the sizes of the pages."""
+    b = g.box()
+    corner = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    quad = F.array(corner(b.x1, b.y1), corner(b.x2, b.y1), corner(b.x2, b.y2), corner(b.x1, b.y2))
+    said = F.concat(F.col("label"), F.lit(' "'), F.col("idx").cast("string"), F.lit("\n"))
+    found = boxes(spark, sf_dir).withColumns({"quad": quad, "text": said, "doc_id": F.col("page").cast("string"), "pos": F.col("idx")}).withColumn("page", F.lit(0))
+    return found, found.select("doc_id", "page").distinct().withColumns({"w": F.lit(300), "h": F.lit(200)})
+
+
+SAID_SQL = JSON_SQL.format("said")
+QUAD_SQL = "'[[' || CAST(x1 AS BIGINT) || ',' || CAST(y1 AS BIGINT) || '],[' || CAST(x2 AS BIGINT) || ',' || CAST(y1 AS BIGINT) || '],[' || CAST(x2 AS BIGINT) || ',' || CAST(y2 AS BIGINT) || '],[' || CAST(x1 AS BIGINT) || ',' || CAST(y2 AS BIGINT) || ']]'"
+
+
+@query(result_sql("ocr", "lines", f"""'{{"quad":' || {QUAD_SQL} || ',"text":' || {SAID_SQL} || ',"confidence":' || printf('%.10f', score) || '}}'"""))
+def line_json(spark, sf_dir):
+    return output.line_documents(*results_of(spark, sf_dir))
+
+
+@query(result_sql("detection", "regions", f"""'{{"quad":' || {QUAD_SQL} || ',"detector_score":' || printf('%.10f', score) || '}}'"""))
+def detection_json(spark, sf_dir):
+    found, sizes = results_of(spark, sf_dir)
+    return output.detection_documents(found.withColumn("det_score", F.col("score")), sizes)
+
+
+@query(result_sql("parsing", "blocks", f"""'{{"index":' || idx || ',"order_index":' || CASE WHEN idx % 3 = 0 THEN 'null' ELSE CAST(idx * 2 AS VARCHAR) END || ',"label":"' || label || '","bbox":[' || CAST(x1 AS BIGINT) || ',' || CAST(y1 AS BIGINT) || ',' || CAST(x2 AS BIGINT) || ',' || CAST(y2 AS BIGINT) || '],"content":' || {SAID_SQL} || ',"image_path":' || CASE WHEN label = 'seal' THEN '"a/' || idx || '.jpg"' ELSE 'null' END || '}}'"""))
+def parsing_json(spark, sf_dir):
+    found, sizes = results_of(spark, sf_dir)
+    path = F.when(F.col("label") == "seal", F.concat(F.lit("a/"), F.col("idx").cast("string"), F.lit(".jpg")))
+    return output.parsing_documents(found.withColumns({"order_index": F.when(F.col("idx") % 3 != 0, F.col("idx") * 2), "content": F.col("text"), "image_path": path}), sizes)
+
+
+@query(result_sql("table", "tables", f"""'{{"route":"' || label || '","html":' || {SAID_SQL} || ',"tokens":["<td>",' || {SAID_SQL} || '],"cells":[[' || printf('%.10f', x1) || ',' || printf('%.10f', y1) || '],[' || printf('%.10f', score) || ']]}}'"""))
+def table_json(spark, sf_dir):
+    found, sizes = results_of(spark, sf_dir)
+    return output.table_documents(found.withColumns({"route": F.col("label"), "html": F.col("text"), "tokens": F.array(F.lit("<td>"), F.col("text")), "cells": F.array(F.array("x1", "y1"), F.array("score"))}), sizes)
+
+
+@query(f"""WITH {BOXES_SQL} SELECT page, count(*) FILTER (WHERE score >= 0.04) AS recognized, count(*) FILTER (WHERE score < 0.04) AS failed,
+  CASE WHEN count(*) FILTER (WHERE score >= 0.04) = 0 THEN 2 WHEN count(*) FILTER (WHERE score < 0.04) > 0 THEN 1 ELSE 0 END AS status FROM boxes GROUP BY page""")
+def page_outcomes(spark, sf_dir):
+    return output.outcomes(boxes(spark, sf_dir).withColumn("error", F.when(F.col("score") < 0.04, "low")), ("page",))
+
+
+@query(f"""WITH {BOXES_SQL}, c AS (SELECT page, idx, CAST(trunc(least(greatest(x1 - 5, 0), 99)) AS BIGINT) AS a, CAST(trunc(least(greatest(y1 - 5, 0), 89)) AS BIGINT) AS b, CAST(trunc(least(greatest(x2 - 5, 0), 99)) AS BIGINT) AS c, CAST(trunc(least(greatest(y2 - 5, 0), 89)) AS BIGINT) AS d FROM boxes)
+SELECT page, idx, c - a > 3 AND d - b > 3 AS kept, CASE WHEN c - a > 3 AND d - b > 3 THEN a || ',' || b || ' ' || c || ',' || b || ' ' || c || ',' || d || ' ' || a || ',' || d END AS corners FROM c""")
+def kept_quads(spark, sf_dir):
+    """Quadrilaterals in any corner order, put in order and clipped to a page of 100 by 90; the thin ones go."""
+    b = g.box()
+    point = lambda x, y: F.struct((x - 5).alias("x"), (y - 5).alias("y"))
+    quad = F.array(point(b.x2, b.y2), point(b.x1, b.y1), point(b.x1, b.y2), point(b.x2, b.y1))
+    rows = boxes(spark, sf_dir).select("page", "idx", g.kept_quad(quad, F.lit(100.0), F.lit(90.0)).alias("q"))
+    said = F.array_join(F.transform("q", lambda p: F.concat_ws(",", p["x"].cast("string"), p["y"].cast("string"))), " ")
+    return rows.select("page", "idx", F.col("q").isNotNull().alias("kept"), F.when(F.col("q").isNotNull(), said).alias("corners"))
+
+
 @query(f"""WITH {BOXES_SQL} SELECT CAST(page AS VARCHAR) AS doc_id, CAST(idx AS BIGINT) AS pos, page || chr(9) || printf('%.6f', score) || chr(9) || label AS value FROM boxes""")
 def tsv_lines(spark, sf_dir):
     lines = boxes(spark, sf_dir).select(F.col("page").cast("string").alias("doc_id"), F.lit(0).alias("page"), F.col("idx").alias("pos"), "score", F.col("label").alias("text"))
