@@ -3,6 +3,10 @@
 Documents with the same set of word n-grams are one class. Representatives meet in buckets of equal band hashes. A
 bucket is worked on in blocks of bounded size; a pair is verified in the first band that it shares, and a block gives
 one row for each of its members (its number of links, and one member that its links reach), never one for each pair.
+
+Members of a bucket of several blocks are compared with its smallest one first. Those so near to it that any two of them
+must link (half the allowed Jaccard distance, which obeys the triangle inequality) are a ball: their links are counted by
+adding up, and none of their pairs is verified, so that a large group of near copies takes no blocks of its own.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import WORD_BYTES, free_name, slices, written
@@ -168,6 +172,9 @@ def verify(members: list[dict], threshold: float) -> Iterator[tuple[int, int, in
     del inter
     if cross:
         link &= side[:, None] != side[None, :]
+    ball = np.array([-1 - k if m["ball"] is None else m["ball"] for k, m in enumerate(members)], np.int64)
+    apart = np.array([m["ball"] is None for m in members])
+    link &= (ball[:, None] != ball[None, :]) | apart[:, None] | apart[None, :]  # pairs of a ball are counted already
     np.fill_diagonal(link, False)
     hashes = np.array([m["bands"][:band] for m in members], np.int64).reshape(k, band)
     for b in range(band):  # pairs of an earlier band have been counted there
@@ -214,6 +221,33 @@ def verified(blocks: DataFrame, threshold: float) -> DataFrame:
     return blocks.mapInArrow(run, FOUND)
 
 
+def near_pivot(rows: DataFrame, threshold: float) -> DataFrame:
+    """(rep, ball) of the rows (rep, ball, text, pivot_text) whose similarity with the pivot is so high that any two of them link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", SLICE):
+            n = batch.num_rows
+            # pivots repeat: each different text is cut into n-grams once
+            pivots, which = np.unique(np.array(batch.column(3).to_pylist(), object), return_inverse=True)
+            gram, own = ngrams([*batch.column(2).to_pylist(), *pivots])
+            sets = np.split(gram, np.searchsorted(own, np.arange(1, n + len(pivots))))
+            near = []
+            for k in range(n):
+                a, b = sets[k], sets[n + which[k]]
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                near.append(2 * both >= (1 + threshold) * (len(a) + len(b) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["rep", "ball"]).filter(pa.array(near, pa.bool_()))
+
+    return rows.select("rep", "ball", "text", "pivot_text").mapInArrow(run, "rep long, ball long")
+
+
+def balls_of(hot: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(rep, ball): of (rep, pivot), the smallest pivot of each rep, if it is near enough; texts holds rep and text."""
+    nearest = written(hot.groupBy("rep").agg(F.min("pivot").alias("ball")), "ngram-pivots")  # its size is known now: texts need not be dealt out for a small one
+    pivots = nearest.select("ball").distinct().join(texts.select(F.col("rep").alias("ball"), F.col("text").alias("pivot_text")), "ball")
+    return written(near_pivot(nearest.join(texts, "rep").join(pivots, "ball"), threshold), "ngram-balls")
+
+
 def links(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(id, n_links, class_id, rep_id): a row for each row of docs.
 
@@ -235,14 +269,21 @@ def links(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     buckets = buckets.groupBy("m", "x1", "x2").agg(F.min(F.struct("band", "h", "size")).alias("first"))
     chunks = F.greatest(F.ceil(F.col("m") / CHUNK_MEMBERS), F.ceil(F.col("first.size") / CHUNK_NGRAMS)).cast("int")
     buckets = buckets.select("first.band", "first.h", chunks.alias("chunks"))
-    members = spread.select("rep", "h").join(buckets, "h")
-    members = members.withColumn("side", F.pmod(F.xxhash64("rep", "h"), F.col("chunks")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    members = written(members.select("rep", "h", "band", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")), "ngram-members")
+    members = written(spread.select("rep", "h", "n").join(buckets, "h"), "ngram-members")
+    texts = docs.select(F.col(id_column).cast("long").alias("rep"), F.col(text_column).cast("string").alias("text"))
+    hot = members.where("chunks > 1")
+    ball = None
+    if hot.limit(1).count():  # else texts would be dealt out to find no ball
+        pivots = hot.groupBy("h").agg(F.min("rep").alias("pivot"))
+        ball = balls_of(hot.select("rep", "h").join(pivots, "h"), texts, threshold)
+    members = _dealt(members, ball)
     active = members.select("rep").distinct().join(reps.select("rep", "copies", "bands"), "rep")
-    texts = docs.select(F.col(id_column).cast("long").alias("rep"), F.col(text_column).cast("string").alias("text")).join(active, "rep")
-    blocks = members.join(texts, "rep").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
+    blocks = members.join(texts.join(active, "rep"), "rep").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
     found = written(verified(blocks, threshold), "ngram-links")
+    if ball is not None:  # in a ball all link with all others
+        inside = ball.join(reps.select("rep", "copies"), "rep")
+        inside = inside.join(inside.groupBy("ball").agg(F.sum("copies").alias("all")), "ball").select("rep", (F.col("all") - F.col("copies")).alias("links"), F.col("ball").alias("peer"))
+        found = found.unionByName(inside)
     near = components(found.select(F.col("rep").alias("a"), F.col("peer").alias("b")))
     reps = reps.select("d1", "d2", "n", "rep", "copies").join(found.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left")
     reps = reps.join(near.withColumnRenamed("node", "rep"), "rep", "left")
@@ -252,6 +293,27 @@ def links(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     return known.unionByName(alone).withColumnRenamed("id", id_column)
 
 
+def _dealt(members: DataFrame, ball: DataFrame | None) -> DataFrame:
+    """(rep, h, band, ball, side, i, j) of (rep, h, n, band, chunks) and (rep, ball): members in chunks, and chunks in blocks; a ball has chunks of its own, which meet all others of the bucket."""
+    members = members.withColumn("ball", F.lit(None).cast("long")) if ball is None else members.join(ball, "rep", "left")
+    small = members.where("chunks = 1").select("rep", "h", "band", "ball", F.lit(0).alias("side"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+    if ball is None:
+        return small
+    large = members.where("chunks > 1")
+    parts = large.groupBy("h", "ball").agg(F.greatest(F.ceil(F.count("*") / CHUNK_MEMBERS), F.ceil(F.sum(F.col("n").cast("long")) / CHUNK_NGRAMS)).cast("int").alias("size"))
+    # chunks of a bucket are numbered on: first those of the rest, then ball by ball
+    order = Window.partitionBy("h").orderBy(F.col("ball").asc_nulls_first())
+    parts = parts.withColumn("before", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    whole = parts.groupBy("h").agg(F.sum("size").alias("total"))
+    parts = written(parts.join(whole, "h"), "ngram-chunks").select(F.col("h").alias("h_"), F.col("ball").alias("ball_"), "size", "before", "total")
+    large = large.join(parts, (F.col("h") == F.col("h_")) & F.col("ball").eqNullSafe(F.col("ball_")))
+    large = large.withColumn("side", (F.col("before") + F.pmod(F.xxhash64("rep", "h"), F.col("size"))).cast("int"))
+    every = F.sequence(F.lit(0), (F.col("total") - 1).cast("int"))
+    own = lambda k: F.col("ball").isNotNull() & (k >= F.col("before")) & (k < F.col("before") + F.col("size"))
+    large = large.withColumn("other", F.explode(F.filter(every, lambda k: ~own(k))))
+    return small.unionByName(large.select("rep", "h", "band", "ball", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")))
+
+
 def _repeated(rows: DataFrame, threshold: float, recall: float) -> DataFrame:
     """links() of (id, text) where ids repeat: the different rows are numbered, and the numbers link."""
     nodes = written(rows.where("id IS NOT NULL").distinct().withColumn("node", F.monotonically_increasing_id()), "ngram-nodes")

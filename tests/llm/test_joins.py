@@ -93,6 +93,25 @@ def test_ngram_join_groups(spark, monkeypatch):
     assert ngram_join.links(frame.limit(0)).count() == 0 and ngram_join.deduplicate(odd).count() == 3
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_ngram_join_balls(spark, monkeypatch, seed):
+    """Near copies of which most lie in a ball around the smallest, some on its edge, some out of it, and some between two balls."""
+    monkeypatch.setattr(ngram_join, "CHUNK_MEMBERS", 16)
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    other = [w if k % 45 else f"z{k}" for k, w in enumerate(base)]  # five words changed: near the base, and with near copies of its own
+    docs = []
+    for k in range(260):
+        own = list(rng.choice((base, base, other)))
+        for _ in range(rng.choice((0, 1, 1, 2, 3, 6, 9))):
+            own[rng.randrange(200)] = rng.choice((f"x{k}", "x"))
+        docs.append((rng.randrange(10**6) * 1000 + k, " ".join(own)))
+    docs += [(k, " ".join(base)) for k in (5, 6)] if seed == 1 else []
+    want = near(docs)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert key(ngram_join.links(frame).select("doc_id", "n_links", "class_id").collect()) == key(want)
+
+
 def test_banding():
     """Bands and rows follow from the recall and from the share of unlike pairs that may meet."""
     for threshold, recall in ((0.8, 0.9999), (0.8, 0.9), (0.5, 0.99), (0.95, 0.999), (1.0, 0.99)):
