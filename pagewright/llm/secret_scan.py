@@ -109,7 +109,11 @@ def secret_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def redact(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """docs with every span replaced by the mask (overlapping spans by one), other columns as they were."""
+    """docs with every span replaced by the mask (overlapping spans by one).
+
+    Null and empty texts and those without secrets stay as they are, repeated rows and null ids too; an empty table stays
+    empty. Other columns pass through, whatever their names.
+    """
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton()
